@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -103,11 +102,16 @@ BASE = 0x5851F42D4C957F2D
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 
 
-@lru_cache(maxsize=1)
+_POWERS: list[np.ndarray] = []
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, BASE, U64), np.full(n, BASE_INVERSE, U64)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=U64), np.cumprod(down, dtype=U64)
+    """Powers of BASE and of its inverse, at least n; the longest tables asked for are kept."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        up, down = np.full(n, BASE, U64), np.full(n, BASE_INVERSE, U64)
+        up[0] = down[0] = 1
+        _POWERS[:] = np.cumprod(up, dtype=U64), np.cumprod(down, dtype=U64)
+    return _POWERS[0], _POWERS[1]
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:

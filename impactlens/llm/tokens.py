@@ -16,26 +16,28 @@ Semantics
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from impactlens.llm.common import U64, ragged, shared_path, slices
+from impactlens.llm.common import NOT_BLANK, U64, ragged, shared_path, slices, utf8, word_bounds, word_hashes
 
 END = 2
 BLOCK = 1024
 MAGIC = b"S8B1"
 #: Fixed values of the format: ids a word and bits an id, by selector; selector 0 is the escape.
 SELECTORS = [(0, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
-#: Text bytes that make a segment, and distinct pieces that a worker remembers.
-SEGMENT_BYTES, REMEMBERED = 2 << 20, 300_000
+#: Text bytes that make a segment, and distinct pieces and stems that a worker remembers.
+SEGMENT_BYTES, REMEMBERED, REMEMBERED_STEMS = 2 << 20, 1_500_000, 500_000
+#: ASCII punctuation that ends a piece and is a word of its own there; an apostrophe may begin a contraction.
+MARKS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -45,18 +47,23 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     blocks = -(-n // BLOCK)
     if not n:
         return np.zeros(0, U64), np.zeros(1, np.int64)
-    # How many ids a word that starts here holds, and its selector; the widest run first, each better one replaces it.
+    # How many ids a word that starts here holds, and its selector; the widest ids first, each longer run replaces it.
     end = np.minimum((np.arange(n) // BLOCK + 1) * BLOCK, n)
     place = np.arange(n)
     run, kind = np.ones(n, np.int32), np.zeros(n, np.int8)
+    wide = np.zeros(n + 1, np.int32)
+    top = int(ids.max())
     for selector in range(15, 0, -1):
         count, bits = SELECTORS[selector]
-        wide = np.concatenate([[0], np.cumsum(ids >> U64(bits) != 0, dtype=np.int32)])
-        if wide[-1] == n:
-            break
+        if selector > 1 and top >> SELECTORS[selector - 1][1] == 0:
+            continue  # all ids fit the next one too, and more of them
+        np.cumsum(ids >= U64(1 << bits), dtype=np.int32, out=wide[1:])
         stop = np.minimum(place + count, end)
-        fits = wide[stop] == wide[:-1]
-        run[fits], kind[fits] = (stop - place)[fits], selector
+        fits = np.flatnonzero(wide[stop] == wide[:-1])
+        long_ = stop[fits] - fits
+        run[fits], kind[fits] = long_, selector
+        if not (long_ == count).any():
+            break  # a longer run of smaller ids would hold one of these
     # Word starts: all blocks walk together.
     starts_of, at = [], np.arange(blocks) * BLOCK
     lane, last = np.arange(blocks), np.minimum((np.arange(blocks) + 1) * BLOCK, n)
@@ -151,8 +158,56 @@ def splits_at_blanks(tokenizer) -> bool:
     return tokenizer.encode(text, add_special_tokens=False).ids == pieces
 
 
+def byte_letters() -> dict[int, str]:
+    """The characters by which byte-level models write bytes: printable ones stand for themselves."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+BYTE_LETTERS = byte_letters()
+
+
+def written(stem: str) -> str:
+    """A stem of letters as the model sees it: normalised, lower-cased, its bytes as letters."""
+    if stem.isascii():
+        return stem.lower()
+    return unicodedata.normalize("NFC", stem).lower().encode().decode("latin-1").translate(BYTE_LETTERS)
+
+
+def splits_after_letters(tokenizer) -> bool:
+    """Whether letters and the punctuation after them are encoded apart, and the model alone gives the letters' ids."""
+    encode = lambda x: tokenizer.encode(x, add_special_tokens=False).ids
+    model = lambda x: [t.id for t in tokenizer.model.tokenize(written(x))]
+    return all(encode(a + b) == model(a) + encode(b) for a in ("a", "Abc", "ÉÑß", "zzqx", "Größe", "слово", "字") for b in (*MARKS, "...", "##@", ",\"", ""))
+
+
+def letters_only(text: str) -> bool:
+    """Whether text is letters, also when it is normalised and lower-cased: some letters turn into one and a mark."""
+    return text.isalpha() and (text.isascii() or unicodedata.normalize("NFC", text).lower().isalpha())
+
+
+class Ragged:
+    """Rows of ids, one after the other, that grow."""
+
+    def __init__(self):
+        self.flat, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.starts) - 1
+
+    def add(self, flat: np.ndarray, counts: np.ndarray) -> None:
+        self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts, dtype=np.int64)])
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        counts = self.starts[rows + 1] - self.starts[rows]
+        return self.flat[ragged(self.starts[rows], counts)], counts
+
+
 class Encoder:
-    """Ids of texts; remembers those of distinct pieces."""
+    """Ids of texts; remembers those of distinct pieces by their hash, and those of the stems that many pieces share: a
+    piece that is letters and then punctuation marks is two words to the tokenizer."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -160,61 +215,66 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.by_piece = splits_at_blanks(self.tokenizer)
-        special = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items()]
-        self.mark = special[-1] if special else None
+        self.by_stem = self.by_piece and splits_after_letters(self.tokenizer)
         self.forget()
+        self.stems: dict[str, list[int]] = {}
 
     def forget(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.flat, self.starts = [], [0]
-        self.arrays: tuple[np.ndarray, np.ndarray] | None = None
-
-    def learn(self, pieces: list[bytes]) -> None:
-        """Encodes new pieces: many in one text, parted by a special token that none of them contains."""
-        word, mark = self.mark or ("", -1)
-        alone = [p for p in pieces if not word or b"<" in p]
-        rest = [p for p in pieces if word and b"<" not in p]
-        for at in range(0, len(rest), 2000):
-            group = rest[at : at + 2000]
-            ids = np.array(self.tokenizer.encode(word.join([p.decode() for p in group]), add_special_tokens=False).ids)
-            cuts = np.flatnonzero(ids == mark)
-            if len(cuts) != len(group) - 1:
-                alone += group
-                continue
-            for p, part in zip(group, np.split(ids, cuts), strict=True):
-                self.add(p, part[1:] if len(part) and part[0] == mark else part)
-        for p in alone:
-            self.add(p, np.array(self.tokenizer.encode(p.decode(), add_special_tokens=False).ids, np.int64))
-
-    def add(self, piece: bytes, ids: np.ndarray) -> None:
-        self.number[piece] = len(self.starts) - 1
-        self.flat.append(ids)
-        self.starts.append(self.starts[-1] + len(ids))
-        self.arrays = None
-
-    def encode(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
+        self.known, self.row, self.pieces = np.zeros(0, U64), np.zeros(0, np.int64), Ragged()
+
+    def stem(self, stem: str) -> list[int]:
+        ids = self.stems.get(stem)
+        if ids is None:
+            if letters_only(stem):
+                ids = [t.id for t in self.tokenizer.model.tokenize(written(stem))]
+            else:
+                ids = self.tokenizer.encode(stem, add_special_tokens=False).ids
+            self.stems[stem] = ids
+        return ids
+
+    def learn(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
+        """Adds pieces, whose hashes ascend."""
+        if len(self.stems) > REMEMBERED_STEMS:
+            self.stems = {}
+        flat: list[int] = []
+        ends = []
+        for text in map(bytes.decode, pieces):
+            if self.by_stem:
+                stem = text.rstrip(MARKS)
+                if stem is not text and not (stem and letters_only(stem)):
+                    stem = text
+                flat += self.stem(stem.lower() if stem.isascii() and stem.isalpha() else stem)
+                if len(stem) < len(text):
+                    flat += self.stem(text[len(stem) :])
+            else:
+                flat += self.tokenizer.encode(text, add_special_tokens=False).ids
+            ends.append(len(flat))
+        place = np.searchsorted(self.known, hashes)
+        self.known = np.insert(self.known, place, hashes)
+        self.row = np.insert(self.row, place, len(self.pieces) + np.arange(len(hashes)))
+        self.pieces.add(np.array(flat, np.int32), np.diff(np.array([0, *ends])))
+
+    def encode(self, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, with end after each text, and the count of each text."""
         if not self.by_piece:
-            found = [[*e.ids, end] for e in self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
+            found = [[*e.ids, end] for e in self.tokenizer.encode_batch([t or "" for t in column.to_pylist()], add_special_tokens=False)]
             return np.array([i for x in found for i in x], np.int64), np.array([len(x) for x in found], np.int64)
-        pieces = [t.split() for t in texts]
-        new = set().union(*pieces) - self.number.keys()
-        if len(self.number) + len(new) > REMEMBERED:
+        data, offsets = utf8(column)
+        starts, ends, first = word_bounds(data, offsets, NOT_BLANK)
+        distinct, at, index = np.unique(word_hashes(data, starts, ends, lower=False), return_index=True, return_inverse=True)
+        if len(self.known) + len(distinct) > REMEMBERED:
             self.forget()
-            new = set().union(*pieces)
-        if new or self.arrays is None:
-            self.learn(sorted(new))
-            self.arrays = (np.concatenate([np.zeros(0, np.int64), *self.flat]).astype(np.int64), np.array(self.starts, np.int64))
-            self.flat = [self.arrays[0]]
-        flat, starts = self.arrays
-        lookup = self.number.__getitem__
-        many = np.array([len(p) for p in pieces], np.int64)
-        total = int(many.sum())
-        index = np.fromiter((i for p in pieces for i in map(lookup, p)), np.int64, total)
-        counts = starts[index + 1] - starts[index]
-        ids = flat[ragged(starts[index], counts)]
-        before = np.concatenate([[0], np.cumsum(counts)])
-        bounds = before[np.concatenate([[0], np.cumsum(many)])]
+        place = np.searchsorted(self.known, distinct)
+        new = np.ones(len(distinct), bool)
+        if len(self.known):
+            new = self.known[np.minimum(place, len(self.known) - 1)] != distinct
+        if new.any():
+            whole = data.tobytes()
+            spans = zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)
+            self.learn(distinct[new], [whole[a:b] for a, b in spans])
+            place = np.searchsorted(self.known, distinct)
+        ids, counts = self.pieces.take(self.row[place][index]) if len(distinct) else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        bounds = np.concatenate([[0], np.cumsum(counts)])[first]
         return np.insert(ids, bounds[1:], end), np.diff(bounds) + 1
 
 
@@ -232,8 +292,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int = END) -> None:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, start, own = TaskContext.get().partitionId(), 0, encoder(tokenizer)
         for batch in slices(batches, most=SEGMENT_BYTES):
-            texts = [x or b"" for x in pc.cast(batch.column("text"), pa.binary()).to_pylist()]
-            ids, counts = own.encode(texts, end)
+            ids, counts = own.encode(batch.column("text"), end)
             kind = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([start], pa.int64()), pa.array([batch.column("doc_id").to_pylist()], kind), pa.array([counts], kind), pa.array([len(ids)], pa.int64()), pa.array([segment(ids)], pa.binary())],

@@ -24,7 +24,7 @@ def odd_rows():
         (0, None, "en", "a"), (1, "", "en", "a"), (2, " \t\r\n\x0b\x0c ", None, None), (3, "one", "en", None), (4, "One", "de", "b"),
         (5, "two words", "en", "b"), (6, base, "en", "a"), (7, base, "en", "a"), (7, base, "en", "a"), (8, " ".join(near), "de", "c"),
         (None, base + " more", "de", "c"), (None, None, None, None), (None, "", "fr", "b"), (9, some(20_000), "en", "c"),
-        (10, "é\x1cü ß x \U0001f600 <|endoftext|> it's 12345", "fr", "d"), (11, "+++ 123 --- !!", "en", "d"),
+        (10, "é\x1cü ß x \U0001f600 <|endoftext|> it's 12345 İ. \u0958. É, abc<| x<|endoftext|>, Ǆ! ﬁn.", "fr", "d"), (11, "+++ 123 --- !!", "en", "d"),
         (12, base.upper(), "en", "d"), (13, "\x00 a\x00b", "en", "d"), (14, "ALPHA " * 300, "en", "a"), (15, "alpha " * 301, "en", "a"),
         *[(20 + i, some(rng.randrange(1, 60)), rng.choice(["en", "de"]), rng.choice("abcd")) for i in range(60)],
     ]
