@@ -3,14 +3,16 @@
 1. A text's shingles (hashes of consecutive words) are a set ordered by hash, the global order. Texts with equal sets
    are one class; classes, not texts, are joined.
 2. Classes meet through parts. For sets whose smaller one lies in a size band, the symmetric difference of a linked pair
-   is at most H, so of H + 1 + S parts, into which the universe is hashed, they agree in at least S + 1. A part shared by
-   more than `CROWD` classes is crowded (a passage that many texts share). A class with at most S crowded parts leaves
-   these out; one with more of them leaves out none. Two linked classes then still meet: no link is lost.
+   is at most H, so of H + 1 + S parts, into which the universe is hashed, they agree in at least S + 1. Each class
+   leaves out the S parts that most classes share (passages that many texts have; ties by the part's hash; empty parts
+   count among the S). Both classes of a linked pair order the parts in which they agree alike, so both leave out only
+   a beginning of that order, and at least one part remains where they meet: no link is lost. A class that shares only
+   S parts with others at all meets none.
 3. Each part's members are tried against its least class, by a prefix tree: ordered sets share the tree's paths, a
    path's overlap with the probe is counted once, and a subtree is left when what remains of either set cannot reach the
    overlap that is needed. Classes linked so far are contracted.
-4. Families (classes connected by shared parts) that are not one component yet are joined as a whole, in units of two
-   blocks, again by prefix trees; a probe passes over what it is already connected with.
+4. Groups (a part's least class and those that met it) that are not one component yet are joined as a whole, in units
+   of two blocks, again by prefix trees; a probe passes over what it is already connected with.
 
 Semantics
 - Words are runs of bytes other than space and 0x09-0x0D, A-Z lower-cased. With fewer than `words` words the whole
@@ -28,15 +30,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
 from impactlens.llm.common import NOT_BLANK, U64, own_name, slices, splitmix, stored, utf8, word_bounds, word_hashes
 
-#: Classes that share a part before it counts as crowded; classes in a block; bits of the filter for step 3's sets.
+#: Up to here a part's classes are counted; classes in a block; bits of the filter for step 3's sets.
 CROWD, BLOCK, FILTER_BITS = 64, 256, 26
-#: A part row's last column: the band, and below it how many crowded parts the class may leave out there.
+#: A part row's band column: the band, and below it how many parts the class leaves out there.
 ROOM_BITS = 22
 
 
@@ -157,7 +159,7 @@ def parts(docs: DataFrame, rule: Rule) -> DataFrame:
                 key = splitmix(content_of ^ splitmix(number * U64(0x9E3779B97F4A7C15) + U64(band + 1)))
                 filled = slot[begins]
                 whose = own_of = filled // many
-                # Empty parts are not told, but counted as left out; only a set with more than S of them tells them too.
+                # Empty parts are not told, but count as left out; only a set with more than S of them tells them too.
                 none = many - np.bincount(own_of, minlength=len(mine))
                 for k in np.flatnonzero(none > spare).tolist():
                     vacant = np.setdiff1d(np.arange(many), filled[own_of == k] % many).astype(U64)
@@ -171,12 +173,12 @@ def parts(docs: DataFrame, rule: Rule) -> DataFrame:
 
 
 def meetings(rows: DataFrame) -> DataFrame:
-    """class, pivot (the part's least class), band, crowded for parts of several classes. A part's rows stand together
-    in a sorted partition and stream by; of a crowded one only its pivot is held."""
+    """part, class, band and size (classes that share the part, at most CROWD + 1) for parts of several classes. A
+    part's rows stand together in a sorted partition and stream by; those of a crowded one are not held."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
-        crowd: tuple[int, int] | None = None  # a crowded part that is still going on, and its pivot
+        crowd: tuple[int, int] | None = None  # a crowded part that is still going on, and the last class told of it
         for batch in batches:
             now = [batch.column(k).to_numpy() for k in ("part", "class", "band")]
             held = [np.concatenate(p) for p in zip(held, now, strict=True)]
@@ -187,9 +189,10 @@ def meetings(rows: DataFrame) -> DataFrame:
             held = [x[last:] for x in held]
             part = int(held[0][0])
             if crowd is None or crowd[0] != part:
-                crowd = (part, int(held[1][0])) if len(np.unique(held[1])) > CROWD else None
+                crowd = (part, 0) if len(np.unique(held[1])) > CROWD else None
             if crowd is not None:
                 yield told(held, crowd)
+                crowd = (part, int(held[1][-1]))
                 held = [x[:0] for x in held]
         yield told(held, crowd)
 
@@ -197,28 +200,31 @@ def meetings(rows: DataFrame) -> DataFrame:
         part, cls, band = cols
         fresh = np.ones(len(part), bool)
         fresh[1:] = (part[1:] != part[:-1]) | (cls[1:] != cls[:-1])
-        part, cls, band = part[fresh], cls[fresh], band[fresh]
         begins = np.ones(len(part), bool)
         begins[1:] = part[1:] != part[:-1]
         first = np.flatnonzero(begins)
-        size = np.diff(np.append(first, len(part)))
-        pivot, crowded, several = np.repeat(cls[first], size), np.repeat(size > CROWD, size), np.repeat(size > 1, size)
+        size = np.add.reduceat(fresh.astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
         if crowd is not None and len(part) and part[0] == crowd[0]:
-            pivot[: size[0]], crowded[: size[0]], several[: size[0]] = crowd[1], True, True
-        return pa.RecordBatch.from_arrays([pa.array(x[several]) for x in (cls, pivot, band, crowded)], names=["class", "pivot", "band", "crowded"])
+            size[0] = CROWD + 1
+            fresh &= (part != crowd[0]) | (cls != crowd[1])
+        size = np.repeat(np.minimum(size, CROWD + 1), np.diff(np.append(first, len(part))))
+        keep = fresh & (size > 1)
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (part, cls, band, size)], names=["part", "class", "band", "size"])
 
     # Many more keys than partitions, and at most a row per class in each: no partition depends on one group.
     dealt = rows.repartition("part").sortWithinPartitions("part", "class")
-    return dealt.mapInArrow(found, "class long, pivot long, band int, crowded boolean")
+    return dealt.mapInArrow(found, "part long, class long, band int, size long")
 
 
 def candidates(docs: DataFrame, rule: Rule) -> DataFrame:
-    """Distinct pairs (a: the pivot, b) of classes that meet in a part which neither may leave out."""
+    """Distinct pairs (a, b) of classes and the least class that shares one of the parts which are not left out."""
     met = stored(meetings(parts(docs, rule)), "join-parts")
-    crowded = met.where("crowded")
-    rich = crowded.groupBy("class", "band").count().where(F.col("count") > F.col("band").bitwiseAND((1 << ROOM_BITS) - 1)).select("class", "band")
-    pairs = met.where("not crowded").select("pivot", "class").unionByName(crowded.join(rich, ["class", "band"]).select("pivot", "class"))
-    return pairs.where("pivot != class").distinct().select(F.col("pivot").alias("a"), F.col("class").alias("b"))
+    # A class has at most so many parts as a text has words in each band, so these windows are small.
+    rank = F.row_number().over(Window.partitionBy("class", "band").orderBy(F.desc("size"), "part"))
+    kept = met.withColumn("rank", rank).where(F.col("rank") > F.col("band").bitwiseAND((1 << ROOM_BITS) - 1))
+    kept = stored(kept.select("part", "class"), "join-kept")
+    pivots = kept.groupBy("part").agg(F.min("class").alias("a"), F.max("class").alias("top")).where("a != top").select("part", "a")
+    return kept.join(pivots, "part").where("a != class").select("a", F.col("class").alias("b")).distinct()
 
 
 class PrefixTree:
@@ -349,8 +355,8 @@ def connected(links: DataFrame) -> DataFrame:
 
 
 def between(members: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """Links between different components of each family. members: class, family, component. A family's classes are
-    dealt into blocks; each pair of blocks is a unit of bounded size."""
+    """Links between different components of each group. members: class, family (the group), component. A group's
+    classes are dealt into blocks; each pair of blocks is a unit of bounded size."""
     size = members.groupBy("family").agg(F.count("*").alias("n"))
     dealt = members.join(size, "family").withColumn("many", F.ceil(F.col("n") / BLOCK).cast("int"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("class"), F.col("many")).cast("int"))
@@ -390,9 +396,9 @@ def joined(docs: DataFrame, rule: Rule) -> DataFrame:
     sets = stored(sets_of(docs, met, rule), "join-sets")
     links = stored(tried(pairs, sets, rule), "join-links")
     component = connected(links)
-    family = connected(pairs)
-    members = family.join(component.withColumnRenamed("root", "c"), "node", "left")
-    members = members.select(F.col("node").alias("class"), F.col("root").alias("family"), F.coalesce("c", "node").alias("component"))
+    members = pairs.select(F.col("a").alias("family"), F.col("b").alias("node"))
+    members = members.join(component.withColumnRenamed("root", "c"), "node", "left")
+    members = members.select(F.col("node").alias("class"), "family", F.coalesce("c", "node").alias("component"))
     members = stored(members, "join-members")
     split = members.groupBy("family").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("family")
     more = stored(between(members.join(split, "family", "left_semi"), sets, rule), "join-links")
