@@ -113,10 +113,10 @@ WITH sized AS (
          coalesce(sum(3 * source_size) OVER before, 0) AS below, sum(weight) OVER from_here AS open,
          sum(source_size) OVER () AS total
   FROM weighed
-  WINDOW before AS (ORDER BY 3 * source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
-         from_here AS (ORDER BY 3 * source_size / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+  WINDOW before AS (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+         from_here AS (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
 ), level AS (
-  SELECT min((total - below) / open) AS each FROM ordered WHERE (total - below) / open <= stops_at
+  SELECT (total - below) / open AS each FROM ordered WHERE (total - below) / open <= stops_at ORDER BY stops_at, source NULLS LAST LIMIT 1
 ), goal AS (
   SELECT source, source_size, least(source_size * 3, weight * each) AS target FROM ordered, level
 ), rated AS (
