@@ -35,7 +35,7 @@ MAGIC = b"S8B1"
 #: Fixed values of the format: ids a word and bits an id, by selector; selector 0 is the escape.
 SELECTORS = [(0, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 #: Text bytes that make a segment, and distinct pieces and stems that a worker remembers.
-SEGMENT_BYTES, REMEMBERED, REMEMBERED_STEMS = 2 << 20, 1_500_000, 500_000
+SEGMENT_BYTES, REMEMBERED, REMEMBERED_STEMS = 1 << 20, 1_000_000, 250_000
 #: ASCII punctuation that ends a piece and is a word of its own there; an apostrophe may begin a contraction.
 MARKS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
 
