@@ -36,8 +36,8 @@ from pyspark.sql.types import LongType, StructType
 
 from impactlens.llm.common import NOT_BLANK, U64, own_name, slices, splitmix, stored, utf8, word_bounds, word_hashes
 
-#: Up to here a part's classes are counted; classes in a block; bits of the filter for step 3's sets.
-CROWD, BLOCK, FILTER_BITS = 64, 256, 26
+#: Up to here a part's classes are counted; classes in a block; bits of the filter for step 3's sets; salts of a group.
+CROWD, BLOCK, FILTER_BITS, SALTS = 64, 256, 26, 64
 #: A part row's band column: the band, and below it how many parts the class leaves out there.
 ROOM_BITS = 22
 
@@ -355,10 +355,13 @@ def connected(links: DataFrame) -> DataFrame:
 
 
 def between(members: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """Links between different components of each group. members: class, family (the group), component. A group's
-    classes are dealt into blocks; each pair of blocks is a unit of bounded size."""
-    size = members.groupBy("family").agg(F.count("*").alias("n"))
-    dealt = members.join(size, "family").withColumn("many", F.ceil(F.col("n") / BLOCK).cast("int"))
+    """Links between different components of each group that has several. members: class, family (the group), component.
+    A group's classes are dealt into blocks; each pair of blocks is a unit of bounded size."""
+    group = members.groupBy("family").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x != y").select("family", "n")
+    # A group may hold a large share of all rows: each is salted, so that no task gets all of one.
+    group = group.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("class"), F.lit(SALTS)).cast("int"))
+    dealt = salted.join(group, ["family", "salt"]).withColumn("many", F.ceil(F.col("n") / BLOCK).cast("int"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("class"), F.col("many")).cast("int"))
     unit = F.explode(F.expr("transform(sequence(0, many - 1), k -> struct(least(k, block) as i, greatest(k, block) as j))"))
     dealt = dealt.join(sets, "class").select("class", "family", "component", "block", "elements", unit.alias("unit")).select("*", "unit.i", "unit.j").drop("unit")
@@ -400,8 +403,7 @@ def joined(docs: DataFrame, rule: Rule) -> DataFrame:
     members = members.join(component.withColumnRenamed("root", "c"), "node", "left")
     members = members.select(F.col("node").alias("class"), "family", F.coalesce("c", "node").alias("component"))
     members = stored(members, "join-members")
-    split = members.groupBy("family").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("family")
-    more = stored(between(members.join(split, "family", "left_semi"), sets, rule), "join-links")
+    more = stored(between(members, sets, rule), "join-links")
     if more.isEmpty():
         return component
     return connected(links.unionByName(more))
