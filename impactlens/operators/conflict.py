@@ -41,3 +41,34 @@ def parallel_ratio(found: DataFrame, deps: DataFrame) -> DataFrame:
     must = found.agg(F.count_if("blocking").alias("must"))
     total = F.col("tests") * (F.col("tests") - 1) / 2
     return n.crossJoin(must).withColumn("can", (total - F.col("must")).cast("long")).withColumn("ratio", F.when(total == 0, 0.0).otherwise((total - F.col("must")) / F.greatest(total, F.lit(1.0))))
+
+
+def shared_fixtures(tests: DataFrame) -> DataFrame:
+    """i < j of tests (test_id, class_name) of one class: they share its fixture. One row per pair, so for the tests of a
+    plan, not for a whole history."""
+    a, b = tests.select(F.col("test_id").alias("i"), "class_name"), tests.select(F.col("test_id").alias("j"), "class_name")
+    return a.join(b, "class_name").where("i < j").select("i", "j", F.lit("SharedFixture").alias("kind"), severity(F.lit("SharedFixture")).alias("severity"), F.lit(False).alias("blocking"))
+
+
+def reasons(deps: DataFrame) -> DataFrame:
+    """i < j, reason: the resources, or else the entities, that two tests have in common."""
+    side = lambda k, what: deps.select(F.col("test_id").alias(k), F.col(what).alias("w")).distinct()
+
+    def common(what):
+        return side("i", what).join(side("j", what), "w").where("i < j").groupBy("i", "j").agg(F.array_join(F.array_sort(F.collect_list("w")), ", ").alias(what))
+
+    both = common("resource_id").join(common("entity"), ["i", "j"], "full_outer")
+    text = F.when(F.col("resource_id").isNotNull(), F.concat(F.lit("Both use "), "resource_id")).otherwise(F.concat(F.lit("Both touch "), "entity"))
+    return both.select("i", "j", text.alias("reason"))
+
+
+def can_run(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """pairs (i, j) with can_run: no blocking conflict between them."""
+    stop = found.where("blocking").select("i", "j").distinct().withColumn("stop", F.lit(True))
+    return pairs.join(stop, ["i", "j"], "left").withColumn("can_run", F.col("stop").isNull()).drop("stop")
+
+
+def exclusive(deps: DataFrame, memory: str = "InMemory") -> DataFrame:
+    """test_id, exclusive: whether a test writes to or deletes from anything but a database in memory."""
+    writes = F.col("access").isin("Write", "ReadWrite", "Delete") & ~F.contains(F.col("resource_id"), F.lit(memory))
+    return deps.groupBy("test_id").agg(F.coalesce(F.bool_or(writes), F.lit(False)).alias("exclusive"))

@@ -98,7 +98,7 @@ def select(scored_tests: DataFrame, plan: str, level: str = "Medium", budget_ms:
     _, seconds, count, least = LEVELS[level]
     budget = seconds * 1000.0 if budget_ms is None else budget_ms
     most = most or count or 1_000_000
-    own = scored_tests.where((F.col("score") >= least) & (F.col("avg_ms") <= budget)).select(plan, "test_id", "score", "avg_ms")
+    own = scored_tests.where((F.col("score") >= least) & (F.col("avg_ms") <= budget)).select(plan, "test_id", F.col("category").alias("kind"), "score", "avg_ms")
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["score", "test_id"], ascending=[False, True])
@@ -114,22 +114,91 @@ def select(scored_tests: DataFrame, plan: str, level: str = "Medium", budget_ms:
         return out
 
     kinds = dict(scored_tests.dtypes)
-    return own.groupBy(plan).applyInPandas(fold, f"{plan} {kinds[plan]}, test_id string, score double, avg_ms double, place long")
+    return own.groupBy(plan).applyInPandas(fold, f"{plan} {kinds[plan]}, test_id string, kind string, score double, avg_ms double, place long").withColumnRenamed("kind", "category")
+
+
+ALONE = {"Database", "UI", "EndToEnd"}
 
 
 def batches(selected: DataFrame, plan: str, parallel: int = 4, limit_ms: float = 300_000.0) -> DataFrame:
-    """Batches of a plan's tests in order of score: a batch is closed at `parallel` tests or beyond `limit_ms`."""
+    """Batches of a plan's tests (test_id, category, score, avg_ms and, if there, dependencies).
+
+    Tests are grouped with the first one they can run beside (neither of a kind that runs alone, no common dependency);
+    groups go by their total time, tests by score. A batch is closed at `parallel` tests or when its longest test and
+    the next one exceed `limit_ms`; it takes as long as its longest test."""
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["score", "test_id"], ascending=[False, True]).copy()
-        number, size, used, out = 1, 0, 0.0, []
-        for ms in frame["avg_ms"].tolist():
-            if size and (size >= parallel or used + ms > limit_ms):
-                number, size, used = number + 1, 0, 0.0
-            size, used = size + 1, used + ms
-            out.append(number)
-        frame["batch"] = out
-        return frame
+        rows = frame.sort_values(["score", "test_id"], ascending=[False, True]).to_dict("records")
+        width, number, held, longest, out = min(parallel, len(rows)), 1, 0, 0.0, []
+        for group in sorted(compatible_groups(rows), key=lambda g: -sum(r["avg_ms"] for r in g)):
+            for r in sorted(group, key=lambda r: (-r["score"], r["test_id"])):
+                if held and (held >= width or longest + r["avg_ms"] > limit_ms):
+                    number, held, longest = number + 1, 0, 0.0
+                held, longest = held + 1, max(longest, r["avg_ms"])
+                out.append((r[plan], r["test_id"], r["score"], r["avg_ms"], number))
+        return pd.DataFrame(out, columns=[plan, "test_id", "score", "avg_ms", "batch"])
 
     kinds = dict(selected.dtypes)
-    return selected.select(plan, "test_id", "score", "avg_ms").groupBy(plan).applyInPandas(fold, f"{plan} {kinds[plan]}, test_id string, score double, avg_ms double, batch long")
+    own = selected.select(plan, "test_id", F.col("category").alias("kind"), "score", "avg_ms", *(["dependencies"] if "dependencies" in kinds else []))
+    return own.groupBy(plan).applyInPandas(fold, f"{plan} {kinds[plan]}, test_id string, score double, avg_ms double, batch long")
+
+
+def compatible_groups(rows: list[dict]) -> list[list[dict]]:
+    """Each group is a first test and all later ones that can run beside it."""
+    groups, left = [], rows
+    while left:
+        head, later = left[0], left[1:]
+        needs = set(head.get("dependencies") if head.get("dependencies") is not None else ())
+        fits = [head["kind"] not in ALONE and r["kind"] not in ALONE and needs.isdisjoint(r.get("dependencies") if r.get("dependencies") is not None else ()) for r in later]
+        groups.append([head, *(r for r, f in zip(later, fits, strict=True) if f)])
+        left = [r for r, f in zip(later, fits, strict=True) if not f]
+    return groups
+
+
+def plan_time(batched: DataFrame, plan: str) -> DataFrame:
+    """plan, ms: batches one after the other, each as long as its longest test."""
+    return batched.groupBy(plan, "batch").agg(F.max("avg_ms").alias("ms")).groupBy(plan).agg(F.sum("ms").alias("ms"), F.count("*").alias("batches"))
+
+
+def select_fast(scored_tests: DataFrame, plan: str, budget_ms: float = 30_000.0, most: int = 50, least: float = 0.6) -> DataFrame:
+    """Greedy selection for quick feedback: up to 80 % unit tests, then integration tests, then whatever fits, by score."""
+    units = max(1, int(most * 0.8))
+    own = scored_tests.where((F.col("score") >= min(least, 0.4)) & (F.col("avg_ms") <= budget_ms)).select(plan, "test_id", F.col("category").alias("kind"), "score", "avg_ms")
+
+    def fold(frame: pd.DataFrame) -> pd.DataFrame:
+        rows = list(frame.sort_values(["score", "test_id"], ascending=[False, True]).itertuples(index=False))
+        kept, used = [], 0.0
+        for kind, quota, floor in (("Unit", units, max(least, 0.5)), ("Integration", most - units, max(least, 0.4)), (None, most, least)):
+            taken, seen = 0, {r.test_id for r in kept}
+            for r in rows:
+                if taken >= quota or len(kept) >= most:
+                    break
+                if (kind in (None, r.kind)) and r.test_id not in seen and r.score >= floor and used + r.avg_ms <= budget_ms:
+                    kept.append(r)
+                    taken, used = taken + 1, used + r.avg_ms
+        out = pd.DataFrame(kept, columns=frame.columns)
+        out["place"] = range(1, len(kept) + 1)
+        return out
+
+    kinds = dict(scored_tests.dtypes)
+    return own.groupBy(plan).applyInPandas(fold, f"{plan} {kinds[plan]}, test_id string, kind string, score double, avg_ms double, place long").withColumnRenamed("kind", "category")
+
+
+def plan_metrics(selected: DataFrame, plan: str) -> DataFrame:
+    """plan, tests, total_ms, mean_score, categories (a map of counts)."""
+    by_kind = selected.groupBy(plan, "category").agg(F.count("*").alias("n"), F.sum("avg_ms").alias("ms"), F.sum("score").alias("score"))
+    return by_kind.groupBy(plan).agg(F.sum("n").alias("tests"), F.sum("ms").alias("total_ms"), (F.sum("score") / F.sum("n")).alias("mean_score"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "n")))).alias("categories"))
+
+
+def expected_tests(methods: DataFrame, types: DataFrame) -> DataFrame:
+    """test_name, confidence: names that tests of these methods (method_id) and types (type) would have by convention. They
+    needn't exist; graph.tests_exercising finds those that do."""
+    one = methods.select(F.concat("method_id", F.lit("Test")).alias("test_name"), F.lower("method_id").alias("k"), F.lit(0.8).alias("confidence"))
+    two = types.select(F.concat("type", F.lit("IntegrationTest")).alias("test_name"), F.lower("type").alias("k"), F.lit(0.6).alias("confidence"))
+    return one.unionByName(two).groupBy("k", "confidence").agg(F.min("test_name").alias("test_name")).select("test_name", "confidence")
+
+
+def change_summary(changes: DataFrame) -> DataFrame:
+    """One row on changes (file_path, changed_methods, changed_types): files, methods, types and the impact, at most 1."""
+    found = changes.agg(F.count("*").alias("changes"), F.count_distinct("file_path").alias("files"), F.coalesce(F.sum(F.size("changed_methods")), F.lit(0)).alias("methods"), F.coalesce(F.sum(F.size("changed_types")), F.lit(0)).alias("types"))
+    return found.withColumn("impact", F.when(F.col("changes") > 0, F.least(F.lit(1.0), (0.1 * F.col("methods") + 0.2 * F.col("types")) / F.col("changes"))).otherwise(0.0))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
@@ -184,3 +184,100 @@ def path_similarity(pairs: DataFrame) -> DataFrame:
     found = pairs.withColumn("s", _sequence_scores("a", "b")).withColumn("lcs", F.col("s")[0]).withColumn("edit", F.col("s")[1]).drop("s")
     found = found.withColumn("trigram", array_jaccard(names.grams(F.col("a")), names.grams(F.col("b"))))
     return found.withColumn("sequential", 0.5 * F.col("lcs") + 0.3 * F.col("edit") + 0.2 * F.col("trigram")).withColumn("prefix", names.common_prefix(F.col("a"), F.col("b")))
+
+
+def overlap_facts(pairs: DataFrame) -> DataFrame:
+    """pairs (i, j, common, n_i, n_j, jaccard) with only_i, only_j and percentage."""
+    return pairs.withColumn("only_i", F.col("n_i") - F.col("common")).withColumn("only_j", F.col("n_j") - F.col("common")).withColumn("percentage", 100 * F.col("jaccard"))
+
+
+def common_methods(coverage: DataFrame, pairs: DataFrame) -> DataFrame:
+    """i, j, method_id, side (both, i, j): the methods of each pair asked for, by an equi-join per side."""
+    own = coverage.select("test_id", "method_id").distinct()
+    a = pairs.select("i", "j").join(own.toDF("i", "method_id"), "i").withColumn("a", F.lit(1))
+    b = pairs.select("i", "j").join(own.toDF("j", "method_id"), "j").withColumn("b", F.lit(1))
+    side = F.when(F.col("a").isNull(), "j").when(F.col("b").isNull(), "i").otherwise("both")
+    return a.join(b, ["i", "j", "method_id"], "full_outer").select("i", "j", "method_id", side.alias("side"))
+
+
+def tag_sets(pairs: DataFrame, tests: DataFrame) -> DataFrame:
+    """pairs with the tags (ignoring case) of both, of i only and of j only."""
+    low = lambda k: tests.select(F.col("test_id").alias(k), F.array_distinct(F.transform("tags", F.lower)).alias(f"t_{k}"))
+    both = pairs.join(low("i"), "i").join(low("j"), "j")
+    return both.select(*pairs.columns, F.array_intersect("t_i", "t_j").alias("common_tags"), F.array_except("t_i", "t_j").alias("tags_i"), F.array_except("t_j", "t_i").alias("tags_j"))
+
+
+def symmetric(pairs: DataFrame, sim: str = "jaccard") -> DataFrame:
+    """i, j, sim: each pair once in either direction."""
+    return pairs.select("i", "j", sim).unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), sim)).distinct()
+
+
+def most_similar(pairs: DataFrame, sim: str = "jaccard") -> DataFrame:
+    """test_id, nearest, sim: the least id among the most similar."""
+    first = Window.partitionBy("i").orderBy(F.desc(sim), "j")
+    return symmetric(pairs, sim).withColumn("k", F.row_number().over(first)).where("k = 1").select(F.col("i").alias("test_id"), F.col("j").alias("nearest"), sim)
+
+
+def above(pairs: DataFrame, threshold: float, sim: str = "jaccard") -> DataFrame:
+    """Pairs at the threshold; below it a matrix holds 0."""
+    return pairs.where(F.col(sim) >= threshold)
+
+
+def primary(recommended: DataFrame) -> DataFrame:
+    """The surest recommendation of each pair (i, j, kind, confidence)."""
+    first = Window.partitionBy("i", "j").orderBy(F.desc("confidence"), "kind")
+    return recommended.withColumn("k", F.row_number().over(first)).where("k = 1").drop("k")
+
+
+def silhouettes(clusters: DataFrame, pairs: DataFrame, sim: str = "jaccard") -> DataFrame:
+    """test_id, cluster, silhouette: (a - b) / max(a, b), a the mean similarity to the rest of its cluster and b that to the
+    nearest other cluster; only for clusters of two or more, none with one cluster. Pairs that aren't listed count as 0,
+    so only clusters with a listed pair are compared: no test is joined with every cluster."""
+    size = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
+    sums = symmetric(pairs, sim).join(clusters.select(F.col("test_id").alias("i"), F.col("cluster").alias("own")), "i").join(clusters.select(F.col("test_id").alias("j"), "cluster"), "j").groupBy("i", "own", "cluster").agg(F.sum(sim).alias("s"))
+    near = sums.join(size, "cluster").withColumn("m", F.when(F.col("cluster") == F.col("own"), F.try_divide(F.col("s"), F.col("n") - 1)).otherwise(F.col("s") / F.col("n")))
+    found = near.groupBy("i").agg(F.max(F.when(F.col("cluster") == F.col("own"), F.col("m"))).alias("a"), F.max(F.when(F.col("cluster") != F.col("own"), F.col("m"))).alias("b"))
+    a, b = F.coalesce("a", F.lit(0.0)), F.coalesce("b", F.lit(0.0))
+    several = size.agg(F.count("*").alias("clusters"))
+    rows = clusters.join(size.where("n > 1"), "cluster").join(found, clusters["test_id"] == found["i"], "left").crossJoin(several).where("clusters > 1")  # one row
+    return rows.select("test_id", "cluster", F.try_divide(a - b, F.greatest(a, b)).alias("silhouette"))
+
+
+def cluster_statistics(clusters: DataFrame, pairs: DataFrame, tests: DataFrame, sim: str = "jaccard") -> DataFrame:
+    """One row: clusters, clustered and unclustered tests, mean cohesion, spread of sizes, silhouette and its label."""
+    own = intra_similarity(clusters, pairs, sim)
+    found = own.agg(F.count("*").alias("clusters"), F.coalesce(F.sum("size"), F.lit(0)).alias("clustered"), F.coalesce(F.avg("cohesion"), F.lit(0.0)).alias("cohesion"), F.coalesce(F.stddev_pop("size"), F.lit(0.0)).alias("size_spread"))
+    score = silhouettes(clusters, pairs, sim).agg(F.coalesce(F.avg("silhouette"), F.lit(0.0)).alias("silhouette"))
+    left = unclustered(tests, clusters).agg(F.count("*").alias("unclustered"))
+    return found.crossJoin(score).crossJoin(left).withColumn("quality", quality(F.col("silhouette")))  # one row each
+
+
+def quality(score: Column) -> Column:
+    return F.when(score >= 0.7, "excellent").when(score >= 0.5, "good").when(score >= 0.3, "fair").otherwise("poor")
+
+
+def unclustered(tests: DataFrame, clusters: DataFrame) -> DataFrame:
+    return tests.join(clusters.select("test_id"), "test_id", "left_anti").select("test_id")
+
+
+def cluster_profile(clusters: DataFrame) -> DataFrame:
+    """cluster, namespaces, name, pattern: what the ids (namespace.class.method) of a cluster have in common. The counts of
+    each namespace and pattern are made before they are gathered."""
+    named = clusters.withColumn("ns", names.namespace(F.col("test_id"))).withColumn("p", F.when(names.type_qualifier(F.col("test_id")).contains("Test"), names.pattern_of_class(names.type_qualifier(F.col("test_id")))))
+    few = named.groupBy("cluster", "ns", "p").agg(F.count("*").alias("n"))
+    patterns = few.where("p is not null").groupBy("cluster", "p").agg(F.sum("n").alias("n")).groupBy("cluster").agg(F.max_by("p", F.struct(F.col("n"), F.col("p"))).alias("pattern"))
+    spaces = few.groupBy("cluster").agg(F.array_sort(F.collect_set(F.nullif("ns", F.lit("")))).alias("namespaces"))
+    name = F.when(F.size("namespaces") == 1, F.concat(F.col("namespaces")[0], F.lit("_Cluster_"), "cluster")).otherwise(F.concat(F.lit("TestCluster_"), "cluster"))
+    return spaces.join(patterns, "cluster", "left").select("cluster", "namespaces", name.alias("name"), F.coalesce("pattern", F.lit("Unknown")).alias("pattern"))
+
+
+def consolidations(cohesion: DataFrame) -> DataFrame:
+    """cluster, confidence, effort of clusters (cluster, size, cohesion) large and alike enough to be put together."""
+    own = cohesion.where((F.col("size") >= 5) & (F.col("cohesion") >= 0.8))
+    return own.select("cluster", F.col("cohesion").alias("confidence"), F.when(F.col("size") <= 10, "Low").otherwise("Medium").alias("effort"))
+
+
+def effort(kind: Column, common: Column, total: Column, category_sim: Column, metadata_sim: Column) -> Column:
+    """What a recommendation would cost: by the methods of both tests, or, to extract what is common, by those."""
+    merge = F.when((total < 10) & (category_sim > 0.8), "Low").when((total < 25) & (metadata_sim > 0.6), "Medium").otherwise("High")
+    return F.when(kind == "ExtractCommon", F.when(common < 5, "Low").when(common < 15, "Medium").otherwise("High")).otherwise(merge)

@@ -2,33 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from impactlens.functions import classify, diff, names
 from impactlens.operators import changes, conflict, coverage, graph, history, scoring, similarity
+from impactlens.plans.registry import ORACLE_SQL, QUERIES, query, rounded  # noqa: F401
 from impactlens.sources.adapter import AS_OF, Tables, sql
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(name: str, oracle: str | None = None):
-    def register(f: Callable[[Tables], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
-        if oracle is not None:
-            ORACLE_SQL[name] = oracle
-        return f
-
-    return register
-
-
-def rounded(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, 6) for c in columns})
-
-
 # Graph
 
 SMALL_PARTS = "SELECT 'P' || p_partkey AS method_id FROM part WHERE p_size = 1"

@@ -68,6 +68,15 @@ class Tables:
         access = F.when(F.col("l_returnflag") == "R", "Write").when(F.col("l_linestatus") == "O", "ReadWrite").otherwise("Read")
         return self.raw("lineitem").where("l_orderkey % 20 = 0").select(F.concat(F.lit("O"), F.col("l_orderkey").cast("string")).alias("test_id"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("resource_id"), access.alias("access"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("entity")).distinct()
 
+    def traces(self) -> DataFrame:
+        """What the orders' tests executed, in the order of their lines: test_id, seq, method_id, call_depth, category, is_production."""
+        lines = self.raw("lineitem").where("l_orderkey % 20 = 0").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("s"), F.min("l_quantity").alias("q"), F.min("l_returnflag").alias("f"))
+        category = F.when(F.col("f") == "R", "Framework").otherwise("BusinessLogic")
+        return lines.select(
+            F.concat(F.lit("O"), F.col("l_orderkey").cast("string")).alias("test_id"), F.col("l_linenumber").alias("seq"), F.concat(F.lit("S"), (F.col("s") % 5).cast("string")).alias("method_id"),
+            (F.col("q") % 5).cast("int").alias("call_depth"), category.alias("category"), (category != "Framework").alias("is_production"),
+        )
+
     def snapshots(self) -> tuple[DataFrame, DataFrame]:
         """Two states of a tree of files: in the second, some are gone, some are new and some have changed."""
         files = self.raw("documents").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), F.sha2("text", 256).alias("sha256"), F.col("doc_id").alias("n"))
@@ -96,6 +105,9 @@ SQL = {
     "data_deps": """SELECT DISTINCT 'O' || l_orderkey AS test_id, 'S' || l_suppkey AS resource_id,
         CASE WHEN l_returnflag = 'R' THEN 'Write' WHEN l_linestatus = 'O' THEN 'ReadWrite' ELSE 'Read' END AS access, 'P' || l_partkey AS entity
         FROM lineitem WHERE l_orderkey % 20 = 0""",
+    "traces": """SELECT 'O' || l_orderkey AS test_id, l_linenumber AS seq, 'S' || (min(l_suppkey) % 5) AS method_id, (min(l_quantity) % 5)::INT AS call_depth,
+        CASE WHEN min(l_returnflag) = 'R' THEN 'Framework' ELSE 'BusinessLogic' END AS category, min(l_returnflag) <> 'R' AS is_production
+        FROM lineitem WHERE l_orderkey % 20 = 0 GROUP BY l_orderkey, l_linenumber""",
 }
 
 

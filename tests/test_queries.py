@@ -2,7 +2,7 @@ import pytest
 from oracle import differences
 
 import __spark_entry__ as entry
-from impactlens.plans import queries
+from impactlens.plans import catalog as queries
 
 
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
