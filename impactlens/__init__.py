@@ -1 +1,2 @@
 """Change-impact and test-intelligence analytics as Spark DataFrame operators."""
+__version__ = "0.1.0"

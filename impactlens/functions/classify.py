@@ -70,7 +70,8 @@ def method_category(is_test: Column, type_: Column, name: Column) -> Column:
 
 
 def change_type(path: Column) -> Column:
-    return F.when(contains_any(path, ["config", ".json", ".xml"]), "Configuration").otherwise("Modified")
+    """A configuration if the file's name has config in it or ends in .json or .xml."""
+    return F.when(F.lower(F.regexp_extract(path, r"([^/\\]*)$", 1)).rlike(r"config|\.(json|xml)$"), "Configuration").otherwise("Modified")
 
 
 def access_type(method: Column) -> Column:
@@ -78,3 +79,13 @@ def access_type(method: Column) -> Column:
         F.when(contains_any(method, ["create", "add", "insert"]), "Create").when(contains_any(method, ["update", "modify"]), "Update")
         .when(contains_any(method, ["delete", "remove"]), "Delete").when(contains_any(method, ["read", "get", "find"]), "Read").otherwise("ReadWrite")
     )
+
+
+def looks_like_test(attributes: Column, name: Column, class_: Column) -> Column:
+    """An attribute, or else the method's or the class's name, that ends like a test's."""
+    marked = F.exists(attributes, lambda a: a.rlike("(?i)(test|testmethod|fact|theory)$"))
+    return F.coalesce(marked, F.lit(False)) | F.coalesce(name.rlike("(?i)tests?$"), F.lit(False)) | F.coalesce(class_.rlike("(?i)tests?$"), F.lit(False))
+
+
+def call_type(extension: Column, static: Column, virtual: Column, interface: Column) -> Column:
+    return F.when(extension, "Extension").when(static, "Static").when(virtual, "Virtual").when(interface, "Interface").otherwise("Direct")

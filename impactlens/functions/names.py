@@ -63,6 +63,25 @@ def namespace(c: Column) -> Column:
     return F.when(F.size(parts) > 2, F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 2), ".")).otherwise("")
 
 
+def container(c: Column) -> Column:
+    """The namespace of a method: all but its last two parts; of two parts the first; null of one."""
+    parts = F.split(c, r"\.")
+    n = F.size(parts)
+    return F.when(n > 2, F.array_join(F.slice(parts, F.lit(1), n - 2), ".")).when(n == 2, parts[0])
+
+
+def approximate_id(namespace_: Column, class_: Column, name: Column, count: Column) -> Column:
+    """namespace.class.name.(n params), without the parts that are null."""
+    return F.concat_ws(".", namespace_, class_, name, F.concat(F.lit("("), count.cast("string"), F.lit(" params)")))
+
+
+def type_of_file(path: Column, root: str = "") -> Column:
+    """The type that a file would hold by its place: the folders below src as a namespace, and its name."""
+    stem = F.regexp_replace(F.regexp_extract(path, r"([^/\\]*)$", 1), r"\.[^.]*$", "")
+    below = F.translate(F.regexp_extract(path, r"(?:^|/)src/(?:(.*)/)?[^/]*$", 1), "/", ".")
+    return F.concat_ws(".", F.nullif(F.lit(root), F.lit("")), F.nullif(below, F.lit("")), stem)
+
+
 def pattern_of_class(c: Column) -> Column:
     return F.when(F.contains(c, F.lit("Test")), F.replace(c, F.lit("Test"), F.lit(""))).otherwise("Unknown")
 

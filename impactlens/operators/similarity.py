@@ -53,6 +53,17 @@ def complexity_weight(method: Column) -> Column:
     return F.greatest(F.lit(0.1), F.least(F.lit(2.0), generic * ctor * accessor))
 
 
+def shown_weight(method: Column) -> Column:
+    """The weight that reports of common methods show; it also counts asynchronous methods."""
+    factor = lambda pattern, value: F.when(method.rlike(pattern), value).otherwise(1.0)
+    return factor("<", 1.2) * factor(r"\.ctor", 1.1) * factor(r"(^|\.)(get_|set_)", 0.7) * factor("Async", 1.15)
+
+
+def method_weights(methods: DataFrame) -> DataFrame:
+    """method_id, weight: frameworks count less, generic methods more, constructors and accessors less."""
+    return methods.select("method_id", (framework_weight(F.col("method_id")) * complexity_weight(F.col("method_id"))).alias("weight")).distinct()
+
+
 def category_similarity(a: Column, b: Column) -> Column:
     pair = F.array_join(F.array_sort(F.array(a, b)), "~")
     return F.when(a == b, 1.0).when(pair == "Integration~Unit", 0.3).when(pair == "EndToEnd~Integration", 0.4).when(pair == "Database~Integration", 0.5).otherwise(0.0)
@@ -281,3 +292,23 @@ def effort(kind: Column, common: Column, total: Column, category_sim: Column, me
     """What a recommendation would cost: by the methods of both tests, or, to extract what is common, by those."""
     merge = F.when((total < 10) & (category_sim > 0.8), "Low").when((total < 25) & (metadata_sim > 0.6), "Medium").otherwise("High")
     return F.when(kind == "ExtractCommon", F.when(common < 5, "Low").when(common < 15, "Medium").otherwise("High")).otherwise(merge)
+
+
+def similarity_label(score: Column) -> Column:
+    return F.when(score >= 0.8, "very high").when(score >= 0.6, "high").when(score >= 0.4, "moderate").when(score >= 0.2, "low").otherwise("very low")
+
+
+def plain_metadata(pairs: DataFrame, tests: DataFrame) -> DataFrame:
+    """pairs (i, j, ...) with category_sim (1 or 0), tag_sim (0 if one side has none) and time_sim (1 if neither took time)."""
+    side = lambda k: tests.select(F.col("test_id").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("category", "tags", "avg_ms")))
+    both = pairs.join(side("i"), "i").join(side("j"), "j")
+    low = lambda k: F.array_distinct(F.transform(f"tags_{k}", F.lower))
+    a, b = F.col("avg_ms_i"), F.col("avg_ms_j")
+    time = F.when((a <= 0) & (b <= 0), 1.0).otherwise(time_similarity(a, b))
+    return both.select(*pairs.columns, F.when(F.col("category_i") == F.col("category_j"), 1.0).otherwise(0.0).alias("category_sim"), array_jaccard(low("i"), low("j")).alias("tag_sim"), time.alias("time_sim"))
+
+
+def overall_with_paths(depth: str = "Medium") -> Column:
+    """Of coverage (jaccard), metadata (metadata_sim) and paths (path_sim: the mean of structural and sequential similarity)."""
+    a, b, c = {"Shallow": (1.0, 0.0, 0.0), "Medium": (0.5, 0.2, 0.3), "Deep": (0.4, 0.3, 0.3)}[depth]
+    return a * F.col("jaccard") + b * F.col("metadata_sim") + c * F.col("path_sim")
