@@ -24,8 +24,11 @@ def closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, st
     """source, node, depth: every node reachable from each seed along edges, at its least depth; seeds have depth 0.
 
     seeds: source, node. stop: nodes (column node) that are reached but not expanded. Each step is one join on the
-    frontier only; cycles end because a node that was reached is not reached again.
+    frontier only; cycles end because a node that was reached is not reached again. The edges are written once and not
+    derived anew at each step; they aren't partitioned by caller, so that a caller of very many can still be split.
     """
+    if max_depth is None or max_depth > 1:
+        edges = cut(edges.select("caller", "callee"))
     reached = seeds.select("source", "node", F.lit(0).alias("depth")).distinct()
     frontier, depth = cut(reached), 0
     done = frontier
