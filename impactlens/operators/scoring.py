@@ -90,6 +90,11 @@ def scored(tests: DataFrame, runs: DataFrame, as_of: str, level: str = "Medium")
     return found.withColumn("score", combined(impact=F.col("impact_score"), time=F.col("time_score"), history=F.col("history_score")))
 
 
+def kind(tests: DataFrame) -> Column:
+    """The category, renamed so that a plan can go by it; null where tests have none."""
+    return (F.col("category") if "category" in tests.columns else F.lit(None).cast("string")).alias("kind")
+
+
 def select(scored_tests: DataFrame, plan: str, level: str = "Medium", budget_ms: float | None = None, most: int | None = None) -> DataFrame:
     """Greedy selection within each plan: by score, passing over tests that don't fit the time that is left.
 
@@ -98,7 +103,7 @@ def select(scored_tests: DataFrame, plan: str, level: str = "Medium", budget_ms:
     _, seconds, count, least = LEVELS[level]
     budget = seconds * 1000.0 if budget_ms is None else budget_ms
     most = most or count or 1_000_000
-    own = scored_tests.where((F.col("score") >= least) & (F.col("avg_ms") <= budget)).select(plan, "test_id", F.col("category").alias("kind"), "score", "avg_ms")
+    own = scored_tests.where((F.col("score") >= least) & (F.col("avg_ms") <= budget)).select(plan, "test_id", kind(scored_tests), "score", "avg_ms")
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["score", "test_id"], ascending=[False, True])
@@ -121,7 +126,7 @@ ALONE = {"Database", "UI", "EndToEnd"}
 
 
 def batches(selected: DataFrame, plan: str, parallel: int = 4, limit_ms: float = 300_000.0) -> DataFrame:
-    """Batches of a plan's tests (test_id, category, score, avg_ms and, if there, dependencies).
+    """Batches of a plan's tests (test_id, score, avg_ms and, if there, category and dependencies).
 
     Tests are grouped with the first one they can run beside (neither of a kind that runs alone, no common dependency);
     groups go by their total time, tests by score. A batch is closed at `parallel` tests or when its longest test and
@@ -139,7 +144,7 @@ def batches(selected: DataFrame, plan: str, parallel: int = 4, limit_ms: float =
         return pd.DataFrame(out, columns=[plan, "test_id", "score", "avg_ms", "batch"])
 
     kinds = dict(selected.dtypes)
-    own = selected.select(plan, "test_id", F.col("category").alias("kind"), "score", "avg_ms", *(["dependencies"] if "dependencies" in kinds else []))
+    own = selected.select(plan, "test_id", kind(selected), "score", "avg_ms", *(["dependencies"] if "dependencies" in kinds else []))
     return own.groupBy(plan).applyInPandas(fold, f"{plan} {kinds[plan]}, test_id string, score double, avg_ms double, batch long")
 
 
