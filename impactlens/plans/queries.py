@@ -240,13 +240,9 @@ pairs AS (SELECT a.test_id AS i, b.test_id AS j, count(*) AS common FROM coverag
 sims AS (SELECT i, j, common, x.n AS n_i, y.n AS n_j, common::DOUBLE / (x.n + y.n - common) AS jaccard FROM pairs JOIN n x ON x.test_id = i JOIN n y ON y.test_id = j)"""
 
 
-def chosen(t: Tables) -> DataFrame:
-    return t.tests().where("test_key % 100 = 0")
-
-
 @query("j3_coverage_overlap", sql("coverage") + f", {CHOSEN}, {OVERLAP} SELECT i, j, common, n_i, n_j, round(jaccard, 6) AS jaccard FROM sims")
 def _(t):
-    return rounded(similarity.overlaps(t.coverage(), chosen(t)), "jaccard")
+    return rounded(similarity.overlaps(t.coverage()), "jaccard")
 
 
 @query("j2_weighted_overlap", sql("coverage") + f""", {CHOSEN}, w AS (SELECT 'P' || p_partkey AS method_id, CASE WHEN p_size > 25 THEN 1.0 ELSE 0.3 END::DOUBLE AS weight FROM part),
@@ -255,7 +251,7 @@ p AS (SELECT a.test_id AS i, b.test_id AS j, sum(a.weight) AS common FROM own a
 SELECT i, j, round(common / (x.w + y.w - common), 6) AS weighted FROM p JOIN total x ON x.test_id = i JOIN total y ON y.test_id = j""")
 def _(t):
     weights = t.raw("part").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("method_id"), F.when(F.col("p_size") > 25, 1.0).otherwise(0.3).alias("weight"))
-    return rounded(similarity.weighted_overlaps(t.coverage(), weights, chosen(t)), "weighted")
+    return rounded(similarity.weighted_overlaps(t.coverage(), weights), "weighted")
 
 
 META = """meta AS (SELECT i, j, jaccard, CASE WHEN a.category = b.category THEN 1.0 WHEN least(a.category, b.category) = 'Integration' AND greatest(a.category, b.category) = 'Unit' THEN 0.3
@@ -267,33 +263,33 @@ META = """meta AS (SELECT i, j, jaccard, CASE WHEN a.category = b.category THEN
 
 @query("j13_metadata_similarity", sql("coverage", "tests") + f", {CHOSEN}, {OVERLAP}, {META} SELECT i, j, round(category_sim, 6) AS category_sim, round(tag_sim, 6) AS tag_sim, round(time_sim, 6) AS time_sim FROM meta")
 def _(t):
-    return rounded(similarity.metadata(similarity.overlaps(t.coverage(), chosen(t)), t.tests()).select("i", "j", "category_sim", "tag_sim", "time_sim"), "category_sim", "tag_sim", "time_sim")
+    return rounded(similarity.metadata(similarity.overlaps(t.coverage()), t.tests()).select("i", "j", "category_sim", "tag_sim", "time_sim"), "category_sim", "tag_sim", "time_sim")
 
 
 @query("r1_recommendations")
 def _(t):
-    pairs = similarity.metadata(similarity.overlaps(t.coverage(), chosen(t)), t.tests())
+    pairs = similarity.metadata(similarity.overlaps(t.coverage()), t.tests())
     return rounded(similarity.recommendations(pairs), "confidence")
 
 
 @query("e22_matrix_statistics", sql("coverage") + f", {CHOSEN}, {OVERLAP} SELECT count(*) AS pairs, round(avg(jaccard), 6) AS mean, round(stddev_pop(jaccard), 6) AS sd, round(min(jaccard), 6) AS least, round(max(jaccard), 6) AS most, round(median(jaccard), 6) AS median FROM sims")
 def _(t):
-    return rounded(similarity.matrix_statistics(similarity.overlaps(t.coverage(), chosen(t))), "mean", "sd", "least", "most", "median")
+    return rounded(similarity.matrix_statistics(similarity.overlaps(t.coverage())), "mean", "sd", "least", "most", "median")
 
 
 @query("e23_average_similarity", sql("coverage") + f", {CHOSEN}, {OVERLAP} SELECT test_id, round(avg(jaccard), 6) AS average FROM (SELECT i AS test_id, jaccard FROM sims UNION ALL SELECT j, jaccard FROM sims) GROUP BY test_id")
 def _(t):
-    return rounded(similarity.average_per_test(similarity.overlaps(t.coverage(), chosen(t))), "average")
+    return rounded(similarity.average_per_test(similarity.overlaps(t.coverage())), "average")
 
 
 @query("k1_single_linkage")
 def _(t):
-    return similarity.single_linkage(similarity.overlaps(t.coverage(), chosen(t)), 0.06)
+    return similarity.single_linkage(similarity.overlaps(t.coverage()), 0.06)
 
 
 @query("k3_complete_linkage")
 def _(t):
-    pairs = similarity.overlaps(t.coverage(), chosen(t))
+    pairs = similarity.overlaps(t.coverage())
     return rounded(similarity.intra_similarity(similarity.linkage(pairs, 0.08), pairs), "cohesion")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from impactlens.operators import artefacts, conflict, scoring, similarity
-from impactlens.plans.queries import CHOSEN, CONFLICTS, OVERLAP, change_sets, chosen
+from impactlens.plans.queries import CHOSEN, CONFLICTS, OVERLAP, change_sets
 from impactlens.plans.registry import query, rounded
 from impactlens.sources.adapter import AS_OF, Tables, sql
 
@@ -58,7 +58,7 @@ def _(t):
 
 
 def pairs(t: Tables) -> DataFrame:
-    return similarity.overlaps(t.coverage(), chosen(t))
+    return similarity.overlaps(t.coverage())
 
 
 @query("u1_overlap_facts", sql("coverage") + f", {CHOSEN}, {OVERLAP} SELECT i, j, common, n_i - common AS only_i, n_j - common AS only_j, round(100 * jaccard, 6) AS percentage FROM sims")
@@ -70,8 +70,7 @@ def _(t):
 m AS (SELECT i, j, method_id, bool_or(a) AS a, bool_or(b) AS b FROM (SELECT i, j, method_id, true AS a, false AS b FROM p JOIN coverage ON test_id = i UNION ALL SELECT i, j, method_id, false, true FROM p JOIN coverage ON test_id = j) GROUP BY 1, 2, 3)
 SELECT i, j, method_id, CASE WHEN a AND b THEN 'both' WHEN a THEN 'i' ELSE 'j' END AS side FROM m""")
 def _(t):
-    own = t.coverage().join(chosen(t).select("test_id"), "test_id", "left_semi")
-    return similarity.common_methods(t.coverage(), similarity.overlaps(own))
+    return similarity.common_methods(t.coverage(), pairs(t))
 
 
 @query("u2_tag_sets", sql("coverage", "tests") + f""", {CHOSEN}, {OVERLAP} SELECT i, j, array_to_string(list_sort(list_filter([a.tag, 'nation' || a.nation], lambda x: list_contains([b.tag, 'nation' || b.nation], x))), ',') AS common_tags
