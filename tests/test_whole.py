@@ -1,7 +1,7 @@
 """Queries over all rows: their SQL without its filters on ids, or every row, must give the same."""
 
 import pytest
-from oracle import differences
+from oracle import connection, differences
 
 from impactlens.plans import catalog as queries
 from impactlens.sources.adapter import Tables
@@ -39,3 +39,29 @@ def test_clusters_link_all_tests(spark, sf_dir):
         if len(own) > 1:
             want |= dict.fromkeys(own, min(own))
     assert {r["test_id"]: r["cluster"] for r in queries.QUERIES["k1_single_linkage"](spark, sf_dir).collect()} == want
+
+
+LINES = (" WHERE l_orderkey % 20 = 0", "")
+ORDERS = (" WHERE o_orderkey % 20 = 0", "")
+
+
+@pytest.mark.parametrize("name", ["h8_exclusive_tests", "e25_conflict_report", "e27_parallel_ratio", "c15_parallel_pairs", "j8_graph_similarity", "j10_execution_edges", "j10_execution_nodes", "b22_relevant_calls", "e7_trace_statistics", "e8_trace_breakdown"])
+def test_conflicts_and_traces_of_all_orders(spark, sf_dir, name):
+    assert differences(spark, sf_dir, queries.QUERIES[name], unfiltered(name, LINES, *[ORDERS] * (name == "c15_parallel_pairs"))) == ""
+
+
+@pytest.mark.parametrize("name", ["h3_conflict_reasons", "h4_conflicts"])
+def test_conflict_pairs_of_all_orders(spark, sf_dir, name):
+    """Many rows: the count and, of one test's pairs, every row."""
+    only = lambda s, d: queries.QUERIES[name](s, d).where("i = 'O1'")
+    sql = unfiltered(name, LINES)
+    assert differences(spark, sf_dir, only, f"SELECT * FROM ({sql}) WHERE i = 'O1'") == ""
+    assert queries.QUERIES[name](spark, sf_dir).count() == connection(sf_dir).execute(f"SELECT count(*) FROM ({sql})").fetchone()[0]
+
+
+def test_divergences_of_all_orders(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    keys = {r["test_id"] for r in t.traces().select("test_id").distinct().collect()}
+    assert keys == {f"O{r['l_orderkey']}" for r in t.raw("lineitem").select("l_orderkey").distinct().collect()}
+    found = {r["i"] for r in queries.QUERIES["j12_divergences"](spark, sf_dir).select("i").distinct().collect()}
+    assert any(int(i[1:]) % 20 for i in found)
