@@ -65,3 +65,15 @@ def test_divergences_of_all_orders(spark, sf_dir):
     assert keys == {f"O{r['l_orderkey']}" for r in t.raw("lineitem").select("l_orderkey").distinct().collect()}
     found = {r["i"] for r in queries.QUERIES["j12_divergences"](spark, sf_dir).select("i").distinct().collect()}
     assert any(int(i[1:]) % 20 for i in found)
+
+
+PATHS = {
+    "g7_traces": [(" WHERE test_key % 50 = 0", "")],
+    "g4_call_paths": [(" AND substr(a.caller, 2)::BIGINT % 50 = 0", ""), (" WHERE target IN ('R1', 'R3')", "")],
+    "p21_scoped_coverage": [(" AND substr(a.caller, 2)::BIGINT % 10 = 0", "")],
+}
+
+
+@pytest.mark.parametrize("name", PATHS)
+def test_traces_and_paths_of_all_tests(spark, sf_dir, name):
+    assert differences(spark, sf_dir, queries.QUERIES[name], unfiltered(name, *PATHS[name])) == ""
