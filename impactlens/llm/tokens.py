@@ -158,27 +158,10 @@ def splits_at_blanks(tokenizer) -> bool:
     return tokenizer.encode(text, add_special_tokens=False).ids == pieces
 
 
-def byte_letters() -> dict[int, str]:
-    """The characters by which byte-level models write bytes: printable ones stand for themselves."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    rest = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
-
-
-BYTE_LETTERS = byte_letters()
-
-
-def written(stem: str) -> str:
-    """A stem of letters as the model sees it: normalised, lower-cased, its bytes as letters."""
-    if stem.isascii():
-        return stem.lower()
-    return unicodedata.normalize("NFC", stem).lower().encode().decode("latin-1").translate(BYTE_LETTERS)
-
-
 def splits_after_letters(tokenizer) -> bool:
-    """Whether letters and the punctuation after them are encoded apart, and the model alone gives the letters' ids."""
+    """Whether letters and the punctuation after them are encoded apart, and the model alone gives ASCII letters' ids."""
     encode = lambda x: tokenizer.encode(x, add_special_tokens=False).ids
-    model = lambda x: [t.id for t in tokenizer.model.tokenize(written(x))]
+    model = lambda x: [t.id for t in tokenizer.model.tokenize(x.lower())] if x.isascii() else encode(x)
     return all(encode(a + b) == model(a) + encode(b) for a in ("a", "Abc", "ÉÑß", "zzqx", "Größe", "слово", "字") for b in (*MARKS, "...", "##@", ",\"", ""))
 
 
@@ -225,8 +208,8 @@ class Encoder:
     def stem(self, stem: str) -> list[int]:
         ids = self.stems.get(stem)
         if ids is None:
-            if letters_only(stem):
-                ids = [t.id for t in self.tokenizer.model.tokenize(written(stem))]
+            if stem.isascii() and stem.isalpha():  # others are normalised by the library alone
+                ids = [t.id for t in self.tokenizer.model.tokenize(stem.lower())]
             else:
                 ids = self.tokenizer.encode(stem, add_special_tokens=False).ids
             self.stems[stem] = ids

@@ -293,6 +293,17 @@ def test_token_ids(table):
     assert got == want
 
 
+def test_token_ids_of_other_scripts(spark):
+    """Lower-casing goes by character: a capital sigma at the end of a word is no final one."""
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(tokens.default_tokenizer())
+    texts = ["ΟΔΟΣ", "ΑΣ", "ΑΣ, ΟΔΟΣ. οδος", "ΣΑΣ!", "İSTANBUL ǅ ẞ ΐ", "Größe, СЛОВО; 字。", "plain ΑΣx ΑΣ1"]
+    got = tokens.packed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    want = {i: [*own.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in got} == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in want.items()}
+
+
 def test_other_tokenizer_gets_whole_texts(odd):
     import public_tokenizers
 
