@@ -295,7 +295,7 @@ def _(t):
 
 @query("j9_path_similarity")
 def _(t):
-    paths = t.raw("lineitem").where("l_orderkey % 500 = 0").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey"))), lambda x: F.concat(F.lit("S"), x["l_suppkey"].cast("string"))).alias("a"))
+    paths = t.raw("lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey"))), lambda x: F.concat(F.lit("S"), x["l_suppkey"].cast("string"))).alias("a"))
     pairs = paths.select(F.col("l_orderkey").alias("i"), "a").join(paths.select(F.col("l_orderkey").alias("j"), F.col("a").alias("b")), F.col("j") == F.col("i") + 500)
     return rounded(similarity.path_similarity(pairs).drop("a", "b"), "lcs", "edit", "trigram", "sequential")
 
@@ -337,7 +337,7 @@ def _(t):
 SELECT DISTINCT cache_key FROM keys JOIN changed ON lower(file) = lower(path)""")
 def _(t):
     keys = t.raw("orders").groupBy(F.concat(F.lit("K"), F.col("o_custkey").cast("string")).alias("cache_key")).agg(F.collect_set(F.concat(F.lit("DOC/"), (F.col("o_orderkey") % 1000).cast("string"))).alias("files"))
-    return changes.stale(t.raw("documents").where("doc_id % 100 = 0").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path")), keys)
+    return changes.stale(t.raw("documents").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path")), keys)
 
 
 @query("m2_cleanup", f"""WITH e AS (SELECT user_id AS owner, event_id::VARCHAR AS path, (abs(value) * 100)::BIGINT AS bytes, ts AS accessed FROM events),

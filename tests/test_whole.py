@@ -77,3 +77,13 @@ PATHS = {
 @pytest.mark.parametrize("name", PATHS)
 def test_traces_and_paths_of_all_tests(spark, sf_dir, name):
     assert differences(spark, sf_dir, queries.QUERIES[name], unfiltered(name, *PATHS[name])) == ""
+
+
+def test_stale_entries_of_all_documents(spark, sf_dir):
+    assert differences(spark, sf_dir, queries.QUERIES["c18_stale_entries"], unfiltered("c18_stale_entries", (" WHERE doc_id % 100 = 0", ""))) == ""
+
+
+def test_paths_of_all_orders_are_compared(spark, sf_dir):
+    keys = {r["l_orderkey"] for r in Tables(spark, sf_dir).raw("lineitem").select("l_orderkey").distinct().collect()}
+    found = queries.QUERIES["j9_path_similarity"](spark, sf_dir).select("i", "j").collect()
+    assert sorted(map(tuple, found)) == sorted((k, k + 500) for k in keys if k + 500 in keys)
