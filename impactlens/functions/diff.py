@@ -24,7 +24,7 @@ def changes(diffs: DataFrame) -> DataFrame:
     added = F.col("line").startswith("new file mode") | (F.col("line") == "--- /dev/null")
     deleted = F.col("line").startswith("deleted file mode") | (F.col("line") == "+++ /dev/null")
     changed = F.col("line").rlike("^[+-]") & ~F.col("line").rlike(r"^(\+\+\+|---)")
-    body = F.when(changed, F.substring("line", 2, 1_000_000))
+    body = F.when(changed, F.expr("substring(line, 2)"))
     found = lines.where("file is not null").groupBy("diff_id", F.col("file").alias("file_path")).agg(
         F.when(F.max(added), "Added").when(F.max(deleted), "Deleted").otherwise("Modified").alias("change_type"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.regexp_extract_all(body, F.lit(METHOD), F.lit(1)))))).alias("m"),

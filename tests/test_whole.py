@@ -3,6 +3,7 @@
 import pytest
 from oracle import connection, differences
 
+from impactlens.functions import diff
 from impactlens.plans import catalog as queries
 from impactlens.sources.adapter import Tables
 
@@ -87,3 +88,8 @@ def test_paths_of_all_orders_are_compared(spark, sf_dir):
     keys = {r["l_orderkey"] for r in Tables(spark, sf_dir).raw("lineitem").select("l_orderkey").distinct().collect()}
     found = queries.QUERIES["j9_path_similarity"](spark, sf_dir).select("i", "j").collect()
     assert sorted(map(tuple, found)) == sorted((k, k + 500) for k in keys if k + 500 in keys)
+
+
+def test_long_changed_line(spark):
+    text = "diff --git a/a.cs b/a.cs\n+++ b/a.cs\n+" + ";" * 1_000_010 + " void FarOff() {\n"
+    assert diff.changes(spark.createDataFrame([(1, text)], "diff_id int, text string")).first()["changed_methods"] == ["FarOff"]
