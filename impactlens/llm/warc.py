@@ -116,6 +116,18 @@ SCHEMA = pa.schema([
 ])
 
 
+def inflated(raw: bytes) -> bytes:
+    """What all members of a gzip file hold; foreign archives have one for each record."""
+    found, at = [], 0
+    while raw[at : at + 2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        while not member.eof and at < len(raw):
+            piece = raw[at : at + (1 << 16)]
+            found.append(member.decompress(piece))
+            at += len(piece) - len(member.unused_data)
+    return b"".join(found)
+
+
 def read(spark, folder: str, with_payload: bool = True) -> DataFrame:
     """A row per record of every archive in folder; payloads only if asked for, their digests always checked."""
 
@@ -123,7 +135,7 @@ def read(spark, folder: str, with_payload: bool = True) -> DataFrame:
         for batch in batches:
             for content in batch.column("content"):
                 raw = content.as_py()
-                raw = zlib.decompressobj(31).decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
+                raw = inflated(raw) if raw[:2] == b"\x1f\x8b" else raw
                 found = [*parsed(raw, with_payload)]
                 for i in range(0, len(found), 512):
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*found[i : i + 512], strict=True), SCHEMA, strict=True)], schema=SCHEMA)

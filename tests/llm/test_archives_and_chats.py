@@ -76,3 +76,11 @@ def test_odd_conversations(spark):
 def test_viterbi_prefers_what_was_learned():
     model = chat.Model([(["User: a", "b", "Bot: c", "User: d"], [("user", True), ("user", False), ("assistant", True), ("user", True)])] * 5)
     assert model.turns("User: q\nw\nBot: e") == [("user", "q\nw"), ("assistant", "e")]
+
+
+def test_archive_of_a_member_per_record(spark, tmp_path):
+    import gzip
+
+    record = lambda i: f"WARC/1.0\r\nWARC-Type: request\r\nWARC-Record-ID: <r{i}>\r\nContent-Length: 100000\r\n\r\n{str(i) * 100_000}\r\n\r\n".encode()
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(record(i)) for i in range(5)))
+    assert sorted(r["record_id"] for r in warc.read(spark, str(tmp_path)).collect()) == [f"<r{i}>" for i in range(5)]
