@@ -33,15 +33,17 @@ def overlaps(coverage: DataFrame, tests: DataFrame | None = None, least: int = 1
 
 
 def weighted_overlaps(coverage: DataFrame, weights: DataFrame, tests: DataFrame | None = None) -> DataFrame:
-    """As overlaps, with methods weighted (method_id, weight): weight of the common ones over that of all."""
-    own = coverage.select("test_id", "method_id").distinct().join(weights, "method_id")
+    """As overlaps, with methods weighted (method_id, weight): weight of the common ones over that of all.
+
+    Weights count to six decimals and are added exactly, so that the result doesn't hang on the order of rows."""
+    own = coverage.select("test_id", "method_id").distinct().join(weights, "method_id").withColumn("weight", F.col("weight").cast("decimal(18,6)"))
     total = own.groupBy("test_id").agg(F.sum("weight").alias("w"))
     left = own if tests is None else own.join(tests.select("test_id"), "test_id", "left_semi")
     a = left.select(F.col("test_id").alias("i"), "method_id", "weight")
     pairs = a.join(own.select(F.col("test_id").alias("j"), "method_id"), "method_id").where("i < j" if tests is None else "i != j").groupBy("i", "j").agg(F.sum("weight").alias("common"))
     pairs = pairs.join(total.select(F.col("test_id").alias("i"), F.col("w").alias("w_i")), "i").join(total.select(F.col("test_id").alias("j"), F.col("w").alias("w_j")), "j")
     union = F.col("w_i") + F.col("w_j") - F.col("common")
-    return pairs.select("i", "j", F.when(union <= 0, 0.0).otherwise(F.col("common") / union).alias("weighted"))
+    return pairs.select("i", "j", F.when(union <= 0, 0.0).otherwise(F.col("common").cast("double") / union.cast("double")).alias("weighted"))
 
 
 def framework_weight(method: Column) -> Column:

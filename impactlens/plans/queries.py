@@ -75,7 +75,7 @@ def _(t):
 
 
 @query("g7_traces", sql("edges", "tests") + """, e AS (SELECT caller, callee FROM (SELECT *, row_number() OVER (PARTITION BY caller ORDER BY callee) AS k FROM edges) WHERE k <= 50),
-s AS (SELECT test_id FROM tests WHERE test_key % 50 = 0), d1 AS (SELECT DISTINCT test_id, callee AS m FROM s JOIN e ON caller = test_id), d2 AS (SELECT DISTINCT test_id, callee AS m FROM d1 JOIN e ON caller = m),
+s AS (SELECT test_id FROM tests), d1 AS (SELECT DISTINCT test_id, callee AS m FROM s JOIN e ON caller = test_id), d2 AS (SELECT DISTINCT test_id, callee AS m FROM d1 JOIN e ON caller = m),
 d3 AS (SELECT DISTINCT test_id, callee AS m FROM d2 JOIN e ON caller = m)
 SELECT test_id, m AS method_id, 1 AS depth FROM d1 UNION ALL SELECT test_id, m, 2 FROM d2 UNION ALL SELECT test_id, m, 3 FROM d3""")
 def _(t):
@@ -234,21 +234,20 @@ def _(t):
 
 # Similarity
 
-CHOSEN = "chosen AS (SELECT 'C' || c_custkey AS test_id FROM customer WHERE c_custkey % 100 = 0)"
 OVERLAP = """n AS (SELECT test_id, count(*) AS n FROM coverage GROUP BY test_id),
-pairs AS (SELECT a.test_id AS i, b.test_id AS j, count(*) AS common FROM coverage a JOIN chosen USING (test_id) JOIN coverage b ON a.method_id = b.method_id AND a.test_id <> b.test_id GROUP BY 1, 2),
+pairs AS (SELECT a.test_id AS i, b.test_id AS j, count(*) AS common FROM coverage a JOIN coverage b ON a.method_id = b.method_id AND a.test_id < b.test_id GROUP BY 1, 2),
 sims AS (SELECT i, j, common, x.n AS n_i, y.n AS n_j, common::DOUBLE / (x.n + y.n - common) AS jaccard FROM pairs JOIN n x ON x.test_id = i JOIN n y ON y.test_id = j)"""
 
 
-@query("j3_coverage_overlap", sql("coverage") + f", {CHOSEN}, {OVERLAP} SELECT i, j, common, n_i, n_j, round(jaccard, 6) AS jaccard FROM sims")
+@query("j3_coverage_overlap", sql("coverage") + f", {OVERLAP} SELECT i, j, common, n_i, n_j, round(jaccard, 6) AS jaccard FROM sims")
 def _(t):
     return rounded(similarity.overlaps(t.coverage()), "jaccard")
 
 
-@query("j2_weighted_overlap", sql("coverage") + f""", {CHOSEN}, w AS (SELECT 'P' || p_partkey AS method_id, CASE WHEN p_size > 25 THEN 1.0 ELSE 0.3 END::DOUBLE AS weight FROM part),
+@query("j2_weighted_overlap", sql("coverage") + """, w AS (SELECT 'P' || p_partkey AS method_id, CASE WHEN p_size > 25 THEN 1.0 ELSE 0.3 END::DECIMAL(18, 6) AS weight FROM part),
 own AS (SELECT test_id, method_id, weight FROM coverage JOIN w USING (method_id)), total AS (SELECT test_id, sum(weight) AS w FROM own GROUP BY 1),
-p AS (SELECT a.test_id AS i, b.test_id AS j, sum(a.weight) AS common FROM own a JOIN chosen USING (test_id) JOIN own b ON a.method_id = b.method_id AND a.test_id <> b.test_id GROUP BY 1, 2)
-SELECT i, j, round(common / (x.w + y.w - common), 6) AS weighted FROM p JOIN total x ON x.test_id = i JOIN total y ON y.test_id = j""")
+p AS (SELECT a.test_id AS i, b.test_id AS j, sum(a.weight) AS common FROM own a JOIN own b ON a.method_id = b.method_id AND a.test_id < b.test_id GROUP BY 1, 2)
+SELECT i, j, round(common::DOUBLE / (x.w + y.w - common)::DOUBLE, 6) AS weighted FROM p JOIN total x ON x.test_id = i JOIN total y ON y.test_id = j""")
 def _(t):
     weights = t.raw("part").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("method_id"), F.when(F.col("p_size") > 25, 1.0).otherwise(0.3).alias("weight"))
     return rounded(similarity.weighted_overlaps(t.coverage(), weights), "weighted")
@@ -261,7 +260,7 @@ META = """meta AS (SELECT i, j, jaccard, CASE WHEN a.category = b.category THEN
   FROM sims JOIN tests a ON a.test_id = i JOIN tests b ON b.test_id = j)"""
 
 
-@query("j13_metadata_similarity", sql("coverage", "tests") + f", {CHOSEN}, {OVERLAP}, {META} SELECT i, j, round(category_sim, 6) AS category_sim, round(tag_sim, 6) AS tag_sim, round(time_sim, 6) AS time_sim FROM meta")
+@query("j13_metadata_similarity", sql("coverage", "tests") + f", {OVERLAP}, {META} SELECT i, j, round(category_sim, 6) AS category_sim, round(tag_sim, 6) AS tag_sim, round(time_sim, 6) AS time_sim FROM meta")
 def _(t):
     return rounded(similarity.metadata(similarity.overlaps(t.coverage()), t.tests()).select("i", "j", "category_sim", "tag_sim", "time_sim"), "category_sim", "tag_sim", "time_sim")
 
@@ -272,12 +271,12 @@ def _(t):
     return rounded(similarity.recommendations(pairs), "confidence")
 
 
-@query("e22_matrix_statistics", sql("coverage") + f", {CHOSEN}, {OVERLAP} SELECT count(*) AS pairs, round(avg(jaccard), 6) AS mean, round(stddev_pop(jaccard), 6) AS sd, round(min(jaccard), 6) AS least, round(max(jaccard), 6) AS most, round(median(jaccard), 6) AS median FROM sims")
+@query("e22_matrix_statistics", sql("coverage") + f", {OVERLAP} SELECT count(*) AS pairs, round(avg(jaccard), 6) AS mean, round(stddev_pop(jaccard), 6) AS sd, round(min(jaccard), 6) AS least, round(max(jaccard), 6) AS most, round(median(jaccard), 6) AS median FROM sims")
 def _(t):
     return rounded(similarity.matrix_statistics(similarity.overlaps(t.coverage())), "mean", "sd", "least", "most", "median")
 
 
-@query("e23_average_similarity", sql("coverage") + f", {CHOSEN}, {OVERLAP} SELECT test_id, round(avg(jaccard), 6) AS average FROM (SELECT i AS test_id, jaccard FROM sims UNION ALL SELECT j, jaccard FROM sims) GROUP BY test_id")
+@query("e23_average_similarity", sql("coverage") + f", {OVERLAP} SELECT test_id, round(avg(jaccard), 6) AS average FROM (SELECT i AS test_id, jaccard FROM sims UNION ALL SELECT j, jaccard FROM sims) GROUP BY test_id")
 def _(t):
     return rounded(similarity.average_per_test(similarity.overlaps(t.coverage())), "average")
 
@@ -333,7 +332,7 @@ def _(t):
     return changes.difference(*t.snapshots())
 
 
-@query("c18_stale_entries", """WITH keys AS (SELECT 'K' || o_custkey AS cache_key, 'DOC/' || (o_orderkey % 1000) AS file FROM orders), changed AS (SELECT 'doc/' || doc_id AS path FROM documents WHERE doc_id % 100 = 0)
+@query("c18_stale_entries", """WITH keys AS (SELECT 'K' || o_custkey AS cache_key, 'DOC/' || (o_orderkey % 1000) AS file FROM orders), changed AS (SELECT 'doc/' || doc_id AS path FROM documents)
 SELECT DISTINCT cache_key FROM keys JOIN changed ON lower(file) = lower(path)""")
 def _(t):
     keys = t.raw("orders").groupBy(F.concat(F.lit("K"), F.col("o_custkey").cast("string")).alias("cache_key")).agg(F.collect_set(F.concat(F.lit("DOC/"), (F.col("o_orderkey") % 1000).cast("string"))).alias("files"))

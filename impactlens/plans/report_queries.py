@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from impactlens.operators import artefacts, conflict, scoring, similarity
-from impactlens.plans.queries import CHOSEN, CONFLICTS, OVERLAP, change_sets
+from impactlens.plans.queries import CONFLICTS, OVERLAP, change_sets
 from impactlens.plans.registry import query, rounded
 from impactlens.sources.adapter import AS_OF, Tables, sql
 
@@ -61,26 +61,30 @@ def pairs(t: Tables) -> DataFrame:
     return similarity.overlaps(t.coverage())
 
 
-@query("u1_overlap_facts", sql("coverage") + f", {CHOSEN}, {OVERLAP} SELECT i, j, common, n_i - common AS only_i, n_j - common AS only_j, round(100 * jaccard, 6) AS percentage FROM sims")
+@query("u1_overlap_facts", sql("coverage") + f", {OVERLAP} SELECT i, j, common, n_i - common AS only_i, n_j - common AS only_j, round(100 * jaccard, 6) AS percentage FROM sims")
 def _(t):
     return rounded(similarity.overlap_facts(pairs(t)).select("i", "j", "common", "only_i", "only_j", "percentage"), "percentage")
 
 
-@query("u1_common_methods", sql("coverage") + f""", {CHOSEN}, p AS (SELECT DISTINCT a.test_id AS i, b.test_id AS j FROM coverage a JOIN chosen x ON x.test_id = a.test_id JOIN coverage b ON a.method_id = b.method_id JOIN chosen y ON y.test_id = b.test_id AND a.test_id < b.test_id),
-m AS (SELECT i, j, method_id, bool_or(a) AS a, bool_or(b) AS b FROM (SELECT i, j, method_id, true AS a, false AS b FROM p JOIN coverage ON test_id = i UNION ALL SELECT i, j, method_id, false, true FROM p JOIN coverage ON test_id = j) GROUP BY 1, 2, 3)
+NEAREST = "near AS (SELECT i, j, jaccard FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY jaccard DESC, j) AS k FROM (SELECT i, j, jaccard FROM sims UNION SELECT j, i, jaccard FROM sims)) WHERE k = 1)"
+
+
+@query("u1_common_methods", sql("coverage") + f""", {OVERLAP}, {NEAREST},
+m AS (SELECT i, j, method_id, bool_or(a) AS a, bool_or(b) AS b FROM (SELECT i, j, method_id, true AS a, false AS b FROM near JOIN coverage ON test_id = i UNION ALL SELECT i, j, method_id, false, true FROM near JOIN coverage ON test_id = j) GROUP BY 1, 2, 3)
 SELECT i, j, method_id, CASE WHEN a AND b THEN 'both' WHEN a THEN 'i' ELSE 'j' END AS side FROM m""")
 def _(t):
-    return similarity.common_methods(t.coverage(), pairs(t))
+    """Of every test and the one most similar to it."""
+    near = similarity.most_similar(pairs(t)).select(F.col("test_id").alias("i"), F.col("nearest").alias("j"))
+    return similarity.common_methods(t.coverage(), near)
 
 
-@query("u2_tag_sets", sql("coverage", "tests") + f""", {CHOSEN}, {OVERLAP} SELECT i, j, array_to_string(list_sort(list_filter([a.tag, 'nation' || a.nation], lambda x: list_contains([b.tag, 'nation' || b.nation], x))), ',') AS common_tags
+@query("u2_tag_sets", sql("coverage", "tests") + f""", {OVERLAP} SELECT i, j, array_to_string(list_sort(list_filter([a.tag, 'nation' || a.nation], lambda x: list_contains([b.tag, 'nation' || b.nation], x))), ',') AS common_tags
 FROM sims JOIN tests a ON a.test_id = i JOIN tests b ON b.test_id = j""")
 def _(t):
     return similarity.tag_sets(pairs(t).select("i", "j"), t.tests()).select("i", "j", F.array_join(F.array_sort("common_tags"), ",").alias("common_tags"))
 
 
-@query("t4_most_similar", sql("coverage") + f""", {CHOSEN}, {OVERLAP}, b AS (SELECT i, j, jaccard FROM sims UNION SELECT j, i, jaccard FROM sims)
-SELECT i AS test_id, j AS nearest, round(jaccard, 6) AS jaccard FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY jaccard DESC, j) AS k FROM b) WHERE k = 1""")
+@query("t4_most_similar", sql("coverage") + f", {OVERLAP}, {NEAREST} SELECT i AS test_id, j AS nearest, round(jaccard, 6) AS jaccard FROM near")
 def _(t):
     return rounded(similarity.most_similar(pairs(t)), "jaccard")
 
@@ -90,7 +94,7 @@ def _(t):
     return rounded(similarity.primary(similarity.recommendations(similarity.metadata(pairs(t), t.tests()))), "confidence")
 
 
-@query("j20_overall_similarity", sql("coverage", "tests") + f""", {CHOSEN}, {OVERLAP} SELECT i, j, round(0.7 * jaccard + 0.3 * least(1.0, 0.3 * CASE WHEN a.category = b.category THEN 1.0 WHEN least(a.category, b.category) = 'Integration' AND greatest(a.category, b.category) = 'Unit' THEN 0.3
+@query("j20_overall_similarity", sql("coverage", "tests") + f""", {OVERLAP} SELECT i, j, round(0.7 * jaccard + 0.3 * least(1.0, 0.3 * CASE WHEN a.category = b.category THEN 1.0 WHEN least(a.category, b.category) = 'Integration' AND greatest(a.category, b.category) = 'Unit' THEN 0.3
 WHEN least(a.category, b.category) = 'EndToEnd' AND greatest(a.category, b.category) = 'Integration' THEN 0.4 WHEN least(a.category, b.category) = 'Database' AND greatest(a.category, b.category) = 'Integration' THEN 0.5 ELSE 0 END::DOUBLE + 0.4 * CASE WHEN a.name = b.name THEN 1 ELSE 0 END
 + 0.2 * ((a.tag = b.tag)::INT + (a.nation = b.nation)::INT)::DOUBLE / (4 - (a.tag = b.tag)::INT - (a.nation = b.nation)::INT) + 0.1 * CASE WHEN a.avg_ms < 1 AND b.avg_ms < 1 THEN 1 WHEN a.avg_ms <= 0 OR b.avg_ms <= 0 THEN 0 ELSE sqrt(least(a.avg_ms, b.avg_ms) / greatest(a.avg_ms, b.avg_ms)) END), 5) AS overall
 FROM sims JOIN tests a ON a.test_id = i JOIN tests b ON b.test_id = j""")
@@ -132,7 +136,7 @@ def _(t):
     return conflict.exclusive(t.data_deps(), "S1")
 
 
-@query("c15_parallel_pairs", sql("data_deps") + f""", {CONFLICTS}, p AS (SELECT 'O' || o_orderkey AS i, 'O' || (o_orderkey + 20) AS j FROM orders WHERE o_orderkey % 20 = 0)
+@query("c15_parallel_pairs", sql("data_deps") + f""", {CONFLICTS}, p AS (SELECT 'O' || o_orderkey AS i, 'O' || (o_orderkey + 20) AS j FROM orders)
 SELECT i, j, NOT EXISTS (SELECT 1 FROM conflicts c WHERE c.i = p.i AND c.j = p.j AND blocking) AS can_run FROM p""")
 def _(t):
     made = t.raw("orders").select(F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("i"), F.concat(F.lit("O"), (F.col("o_orderkey") + 20).cast("string")).alias("j"))

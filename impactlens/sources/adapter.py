@@ -64,9 +64,10 @@ class Tables:
         return joined.select(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("test_id"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("method_id")).distinct()
 
     def data_deps(self) -> DataFrame:
-        """A line's supplier is the resource that its order's test uses; what it does there goes by the flags."""
+        """A line's stock (a part at a supplier) is the resource that its order's test uses, the part the entity; what it
+        does there goes by the flags."""
         access = F.when(F.col("l_returnflag") == "R", "Write").when(F.col("l_linestatus") == "O", "ReadWrite").otherwise("Read")
-        return self.raw("lineitem").select(F.concat(F.lit("O"), F.col("l_orderkey").cast("string")).alias("test_id"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("resource_id"), access.alias("access"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("entity")).distinct()
+        return self.raw("lineitem").select(F.concat(F.lit("O"), F.col("l_orderkey").cast("string")).alias("test_id"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string"), F.lit("/P"), F.col("l_partkey").cast("string")).alias("resource_id"), access.alias("access"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("entity")).distinct()
 
     def traces(self) -> DataFrame:
         """What the orders' tests executed, in the order of their lines: test_id, seq, method_id, call_depth, category, is_production."""
@@ -102,12 +103,12 @@ SQL = {
         abs(c_acctbal) AS avg_ms, lower(c_mktsegment) AS tag, c_nationkey AS nation FROM customer""",
     "runs": """SELECT 'C' || user_id AS test_id, event_id AS run_id, event_type <> 'error' AS passed, value AS duration_ms, ts AS executed_at FROM events""",
     "coverage": """SELECT DISTINCT 'C' || o_custkey AS test_id, 'P' || l_partkey AS method_id FROM orders JOIN lineitem ON o_orderkey = l_orderkey""",
-    "data_deps": """SELECT DISTINCT 'O' || l_orderkey AS test_id, 'S' || l_suppkey AS resource_id,
+    "data_deps": """SELECT DISTINCT 'O' || l_orderkey AS test_id, 'S' || l_suppkey || '/P' || l_partkey AS resource_id,
         CASE WHEN l_returnflag = 'R' THEN 'Write' WHEN l_linestatus = 'O' THEN 'ReadWrite' ELSE 'Read' END AS access, 'P' || l_partkey AS entity
-        FROM lineitem WHERE l_orderkey % 20 = 0""",
+        FROM lineitem""",
     "traces": """SELECT 'O' || l_orderkey AS test_id, l_linenumber AS seq, 'S' || (min(l_suppkey) % 5) AS method_id, (min(l_quantity) % 5)::INT AS call_depth,
         CASE WHEN min(l_returnflag) = 'R' THEN 'Framework' ELSE 'BusinessLogic' END AS category, min(l_returnflag) <> 'R' AS is_production
-        FROM lineitem WHERE l_orderkey % 20 = 0 GROUP BY l_orderkey, l_linenumber""",
+        FROM lineitem GROUP BY l_orderkey, l_linenumber""",
 }
 
 
