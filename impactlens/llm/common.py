@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,11 +19,12 @@ MASK64 = (1 << 64) - 1
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below the folder that driver and executors share (spark.checkpoint.dir)."""
+    """A new path below the folder that driver and executors share (spark.checkpoint.dir). Only a local session, whose
+    executors are the driver, gets a folder of its own if that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        import tempfile
-
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"{tempfile.gettempdir()}/impactlens-shared"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/impactlens/{name}-{uuid.uuid4().hex}"
@@ -31,7 +34,46 @@ def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors."""
     path = shared_path(df.sparkSession, name)
     df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.stored_at = path
+    return found
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes what `stored` wrote for these frames; nothing that is still to be computed may read them."""
+    for frame in frames:
+        hadoop = frame.sparkSession._jvm.org.apache.hadoop.fs.Path(frame.stored_at)
+        hadoop.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+#: What a worker process remembers between tasks, by the operator that does, and how it is forgotten.
+_REMEMBERED: dict[str, Callable[[], None]] = {}
+
+
+def remembers(owner: str, forget: Callable[[], None]) -> None:
+    _REMEMBERED[owner] = forget
+
+
+def tidy(rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], owner: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """rows, for mapInArrow: workers are used again by other tasks, so what other operators remember is forgotten when a
+    task begins, and free memory goes back to the system when it ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for other, forget in _REMEMBERED.items():
+            if other != owner:
+                forget()
+        try:
+            yield from rows(batches)
+        finally:
+            released()
+
+    return run
+
+
+def released() -> None:
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+        trim(0)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -106,12 +148,15 @@ _POWERS: list[np.ndarray] = []
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of BASE and of its inverse, at least n; the longest tables asked for are kept."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        up, down = np.full(n, BASE, U64), np.full(n, BASE_INVERSE, U64)
-        up[0] = down[0] = 1
-        _POWERS[:] = np.cumprod(up, dtype=U64), np.cumprod(down, dtype=U64)
-    return _POWERS[0], _POWERS[1]
+    """Powers of BASE and of its inverse, at least n; tables that a slice of usual length needs are kept."""
+    if _POWERS and len(_POWERS[0]) >= n:
+        return _POWERS[0], _POWERS[1]
+    up, down = np.full(n, BASE, U64), np.full(n, BASE_INVERSE, U64)
+    up[0] = down[0] = 1
+    tables = np.cumprod(up, dtype=U64), np.cumprod(down, dtype=U64)
+    if n <= 2 * SLICE_BYTES:
+        _POWERS[:] = tables
+    return tables
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
