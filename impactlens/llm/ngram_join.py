@@ -10,9 +10,11 @@
    S parts with others at all meets none.
 3. Each part's members are tried against its least class, by a prefix tree: ordered sets share the tree's paths, a
    path's overlap with the probe is counted once, and a subtree is left when what remains of either set cannot reach the
-   overlap that is needed. Classes linked so far are contracted.
+   overlap that is needed. A class that meets very many is tried in several units. Classes linked so far are contracted.
 4. Groups (a part's least class and those that met it) that are not one component yet are joined as a whole, in units
-   of two blocks, again by prefix trees; a probe passes over what it is already connected with.
+   of two blocks, again by prefix trees; a probe passes over what it is already connected with. Blocks hold classes of
+   one size band; a component that fills blocks has its own, which never meet each other, and the others are mixed.
+   Only ids are dealt out; sets are joined to the units that are left.
 
 Semantics
 - Words are runs of bytes other than space and 0x09-0x0D, A-Z lower-cased. With fewer than `words` words the whole
@@ -30,13 +32,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from impactlens.llm.common import NOT_BLANK, U64, own_name, slices, splitmix, stored, utf8, word_bounds, word_hashes
+from impactlens.llm.common import NOT_BLANK, U64, discard, own_name, released, slices, splitmix, stored, tidy, utf8, word_bounds, word_hashes
 
-#: Up to here a part's classes are counted; classes in a block; bits of the filter for step 3's sets; salts of a group.
+#: Up to here a part's classes are counted; classes in a block and pairs in a unit; bits of the filter for step 3's sets;
+#: salts of a group.
 CROWD, BLOCK, FILTER_BITS, SALTS = 64, 256, 26, 64
 #: A part row's band column: the band, and below it how many parts the class leaves out there.
 ROOM_BITS = 22
@@ -54,6 +57,11 @@ class Rule:
         """The least overlap of linked sets of sizes m and n."""
         return -(-self.num * (m + n) // (self.num + self.den))
 
+    def size_band(self, size: Column) -> Column:
+        """A number for each set size; those of linked sets differ by one at most."""
+        width = max(math.log(self.den / self.num) * (1 + 1e-9), 1e-9)
+        return F.floor(F.log(size) / width)
+
     def bands(self, largest: int) -> list[tuple[int, int, int, int]]:
         """Smallest size, largest size, parts and S of each band up to a set size."""
         out, low = [], 1
@@ -121,7 +129,7 @@ def sized(docs: DataFrame, rule: Rule) -> DataFrame:
             values, first = shingle_sets(batch.column("text"), rule.words)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(first)), pa.array(classes_of(values, first))], names=["doc_id", "n_shingles", "class"])
 
-    return docs.mapInArrow(rows, "doc_id long, n_shingles long, class long")
+    return docs.mapInArrow(tidy(rows), "doc_id long, n_shingles long, class long")
 
 
 def parts(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -169,7 +177,7 @@ def parts(docs: DataFrame, rule: Rule) -> DataFrame:
                 room = np.maximum(0, spare - none)[whose] + (band << ROOM_BITS)
                 yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(who), pa.array(room.astype(np.int32))], names=["part", "class", "band"])
 
-    return docs.mapInArrow(rows, "part long, class long, band int")
+    return docs.mapInArrow(tidy(rows), "part long, class long, band int")
 
 
 def meetings(rows: DataFrame) -> DataFrame:
@@ -213,18 +221,23 @@ def meetings(rows: DataFrame) -> DataFrame:
 
     # Many more keys than partitions, and at most a row per class in each: no partition depends on one group.
     dealt = rows.repartition("part").sortWithinPartitions("part", "class")
-    return dealt.mapInArrow(found, "part long, class long, band int, size long")
+    return dealt.mapInArrow(tidy(found), "part long, class long, band int, size long")
 
 
 def candidates(docs: DataFrame, rule: Rule) -> DataFrame:
-    """Distinct pairs (a, b) of classes and the least class that shares one of the parts which are not left out."""
+    """Distinct pairs (a, b) of classes and the least class that shares one of the parts which are not left out; n: how
+    many classes share that part, or the most shared one of several."""
     met = stored(meetings(parts(docs, rule)), "join-parts")
     # A class has at most so many parts as a text has words in each band, so these windows are small.
     rank = F.row_number().over(Window.partitionBy("class", "band").orderBy(F.desc("size"), "part"))
     kept = met.withColumn("rank", rank).where(F.col("rank") > F.col("band").bitwiseAND((1 << ROOM_BITS) - 1))
     kept = stored(kept.select("part", "class"), "join-kept")
-    pivots = kept.groupBy("part").agg(F.min("class").alias("a"), F.max("class").alias("top")).where("a != top").select("part", "a")
-    return kept.join(pivots, "part").where("a != class").select("a", F.col("class").alias("b")).distinct()
+    discard(met)
+    pivots = kept.groupBy("part").agg(F.min("class").alias("a"), F.max("class").alias("top"), F.count("*").alias("n")).where("a != top").select("part", "a", "n")
+    pairs = kept.join(pivots, "part").where("a != class").groupBy("a", F.col("class").alias("b")).agg(F.max("n").alias("n"))
+    pairs = stored(pairs, "join-pairs")
+    discard(kept)
+    return pairs
 
 
 class PrefixTree:
@@ -286,7 +299,7 @@ class PrefixTree:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
-    """class, elements for the classes in wanted (column class). A bitmap of fixed size keeps most others from being
+    """class, size, elements for the classes in wanted (column class). A bitmap of fixed size keeps most others from being
     sent at all; the join decides."""
     bit = F.shiftrightunsigned("class", 8).bitwiseAND((1 << FILTER_BITS) - 1)
     marks = wanted.select(F.shiftright(bit, 15).alias("k"), bit.bitwiseAND(32767).alias("p"))
@@ -310,28 +323,33 @@ def sets_of(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
                     own.append(i)
             yield pa.RecordBatch.from_arrays([pa.array(named[own]), pa.array([values[first[i] : first[i + 1]].tobytes() for i in own], pa.binary())], names=["class", "elements"])
 
-    sent = docs.mapInArrow(rows, "class long, elements binary")
-    return sent.join(wanted, "class", "left_semi").groupBy("class").agg(F.first("elements").alias("elements"))
+    sent = docs.mapInArrow(tidy(rows), "class long, elements binary")
+    found = sent.join(wanted, "class", "left_semi").groupBy("class").agg(F.first("elements").alias("elements"))
+    return found.select("class", (F.octet_length("elements") / 8).cast("int").alias("size"), "elements")
 
 
 def tried(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """Those of the pairs (a, b) that link: of each a's partners a prefix tree is made, and probed with a."""
+    """Those of the pairs (a, b, n) that link: of each a's partners a prefix tree is made, and probed with a. Pairs are
+    dealt into units of about BLOCK by a and, where a meets more than that, by a salt of b; a unit has each a's set once."""
+    many = max(1, pairs.count() // BLOCK)
+    salt = F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / BLOCK)).cast("int")
+    dealt = pairs.select(F.pmod(F.xxhash64("a", salt), F.lit(many)).alias("unit"), "a", "b")
+    rows = dealt.select("unit", "a", F.col("b").alias("class")).unionByName(dealt.select("unit", "a", F.col("a").alias("class")).distinct())
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pivot = batch.column("a").to_numpy()
-            other = batch.column("b").to_numpy()
-            first = np.flatnonzero(np.concatenate([[True], pivot[1:] != pivot[:-1]])) if len(pivot) else np.zeros(0, np.int64)
-            keep: list[int] = []
-            for low, high in zip(first, [*first[1:], len(pivot)], strict=True):
-                x = np.frombuffer(batch.column("x")[int(low)].as_py(), U64)
-                members = [np.frombuffer(batch.column("y")[i].as_py(), U64) for i in range(int(low), int(high))]
-                keep += [int(low) + i for i in PrefixTree(members).probe(x, rule)]
-            yield pa.RecordBatch.from_arrays([pa.array(pivot[keep]), pa.array(other[keep])], names=["a", "b"])
+    def links(table: pa.Table) -> pa.Table:
+        pivot, cls = table.column("a").to_numpy(), table.column("class").to_numpy()
+        order = np.lexsort((cls != pivot, pivot))  # each pivot's own set comes first
+        elements = table.column("elements")
+        first = np.flatnonzero(np.concatenate([[True], pivot[order][1:] != pivot[order][:-1]]))
+        keep: list[int] = []
+        for low, high in zip(first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
+            x = np.frombuffer(elements[int(order[low])].as_py(), U64)
+            others = order[low + 1 : high].tolist()
+            keep += [others[i] for i in PrefixTree([np.frombuffer(elements[i].as_py(), U64) for i in others]).probe(x, rule)]
+        released()
+        return pa.table({"a": pa.array(pivot[keep]), "b": pa.array(cls[keep])})
 
-    both = pairs.join(sets.select(F.col("class").alias("b"), F.col("elements").alias("y")), "b")
-    both = both.join(sets.select(F.col("class").alias("a"), F.col("elements").alias("x")), "a")
-    return both.select("a", "b", "x", "y").mapInArrow(rows, "a long, b long")
+    return rows.join(sets.select("class", "elements"), "class").groupBy("unit").applyInArrow(links, "a long, b long")
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -340,13 +358,14 @@ def connected(links: DataFrame) -> DataFrame:
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
     edges = stored(edges, "join-edges")
     before = None
-    while True:
+    while True:  # each round's edges replace those of the one before
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        edges = stored(small.where("u != v").distinct(), "join-edges")
+        last, edges = edges, stored(small.where("u != v").distinct(), "join-edges")
+        discard(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == before:
             break
@@ -354,24 +373,44 @@ def connected(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def units(members: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs of blocks that could hold links between different components of a group: a row for each class and pair,
+    with the side it is on. members: class, family (the group), component, size."""
+    open_ = members.groupBy("family").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("family")
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    # A group or a component may hold a large share of all rows: they are salted, so that no task gets all of one.
+    rows = members.withColumn("salt", F.pmod(F.xxhash64("class"), F.lit(SALTS)).cast("int")).withColumn("size_band", rule.size_band(F.col("size")))
+    rows = rows.join(open_.select("family", salt), ["family", "salt"])
+    count = rows.groupBy("family", "component").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("family", "component", salt, F.col("component").alias("own"))
+    rows = rows.join(count, ["family", "component", "salt"], "left").withColumn("own", F.coalesce("own", F.lit(0)))  # no class is 0
+    rows = stored(rows, "join-dealt")
+    kinds = rows.groupBy("family", "own", "size_band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("many"))
+    left = kinds.select("family", *(F.col(c).alias(f"{c}_i") for c in ("own", "size_band", "many")), F.explode(F.array("size_band", F.col("size_band") + 1)).alias("size_band_j"))
+    right = kinds.select("family", *(F.col(c).alias(f"{c}_j") for c in ("own", "size_band", "many")))
+    pairs = left.join(right, ["family", "size_band_j"]).where("own_i != own_j or own_i = 0").where("size_band_i < size_band_j or own_i <= own_j")
+    pairs = pairs.withColumn("same", F.expr("size_band_i = size_band_j and own_i = own_j")).select("*", salt)
+
+    def side(k: str, other: str) -> DataFrame:
+        on = pairs.select(*(F.col(c) for c in pairs.columns)).withColumnsRenamed({f"own_{k}": "own", f"size_band_{k}": "size_band"})
+        dealt = rows.join(on, ["family", "own", "size_band", "salt"]).withColumn("block", F.pmod(F.xxhash64("class"), F.col(f"many_{k}")).cast("int"))
+        # A kind of blocks that meets itself: block k is left of itself and of those after it, right of those before.
+        from_, to = (F.when(F.col("same"), F.col("block")).otherwise(0), F.col("many_j")) if k == "i" else (F.lit(0), F.when(F.col("same"), F.col("block")).otherwise(F.col("many_i")))
+        blocks = F.filter(F.sequence(F.lit(0), F.col(f"many_{other}")), lambda b: (b >= from_) & (b < to))
+        dealt = dealt.withColumn("with", F.explode(blocks)).withColumnsRenamed({"own": f"own_{k}", "size_band": f"size_band_{k}", "block": f"block_{k}", "with": f"block_{other}"})
+        return dealt.select("family", "own_i", "size_band_i", "block_i", "own_j", "size_band_j", "block_j", "class", "component", F.lit(k == "i").alias("is_left"))
+
+    return side("i", "j").unionByName(side("j", "i"))
+
+
 def between(members: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """Links between different components of each group that has several. members: class, family (the group), component.
-    A group's classes are dealt into blocks; each pair of blocks is a unit of bounded size."""
-    group = members.groupBy("family").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x != y").select("family", "n")
-    # A group may hold a large share of all rows: each is salted, so that no task gets all of one.
-    group = group.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = members.withColumn("salt", F.pmod(F.xxhash64("class"), F.lit(SALTS)).cast("int"))
-    dealt = salted.join(group, ["family", "salt"]).withColumn("many", F.ceil(F.col("n") / BLOCK).cast("int"))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("class"), F.col("many")).cast("int"))
-    unit = F.explode(F.expr("transform(sequence(0, many - 1), k -> struct(least(k, block) as i, greatest(k, block) as j))"))
-    dealt = dealt.join(sets, "class").select("class", "family", "component", "block", "elements", unit.alias("unit")).select("*", "unit.i", "unit.j").drop("unit")
+    """Links between different components of each group that has several. members: class, family, component."""
 
     def links(table: pa.Table) -> pa.Table:
-        cls, comp, block = (table.column(k).to_pylist() for k in ("class", "component", "block"))
+        cls, comp, is_left = (table.column(k).to_pylist() for k in ("class", "component", "is_left"))
         sets_ = [np.frombuffer(x, U64) for x in table.column("elements").to_pylist()]
-        one = table.column("i")[0].as_py() == table.column("j")[0].as_py()
-        right = [k for k in range(len(cls)) if one or block[k] == table.column("j")[0].as_py()]
-        left = right if one else [k for k in range(len(cls)) if block[k] == table.column("i")[0].as_py()]
+        left = [k for k in range(len(cls)) if is_left[k]]
+        one = table.column("block_i")[0] == table.column("block_j")[0] and table.column("own_i")[0] == table.column("own_j")[0] and table.column("size_band_i")[0] == table.column("size_band_j")[0]
+        right = left if one else [k for k in range(len(cls)) if not is_left[k]]
         above: dict[int, int] = {}
 
         def root(c: int) -> int:
@@ -387,14 +426,17 @@ def between(members: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
                 if root(comp[right[hit]]) != root(comp[k]):
                     out.append((cls[k], cls[right[hit]]))
                     above[root(comp[right[hit]])] = root(comp[k])
+        released()
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
-    return dealt.groupBy("family", "i", "j").applyInArrow(links, "a long, b long")
+    dealt = units(members.join(sets.select("class", "size"), "class"), rule)
+    whole = dealt.join(sets.select("class", "elements"), "class")
+    return whole.groupBy("family", "own_i", "size_band_i", "block_i", "own_j", "size_band_j", "block_j").applyInArrow(links, "a long, b long")
 
 
 def joined(docs: DataFrame, rule: Rule) -> DataFrame:
     """node, root: components of linked classes."""
-    pairs = stored(candidates(docs, rule), "join-pairs")
+    pairs = candidates(docs, rule)
     met = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
     sets = stored(sets_of(docs, met, rule), "join-sets")
     links = stored(tried(pairs, sets, rule), "join-links")
@@ -403,7 +445,9 @@ def joined(docs: DataFrame, rule: Rule) -> DataFrame:
     members = members.join(component.withColumnRenamed("root", "c"), "node", "left")
     members = members.select(F.col("node").alias("class"), "family", F.coalesce("c", "node").alias("component"))
     members = stored(members, "join-members")
+    discard(pairs)
     more = stored(between(members, sets, rule), "join-links")
+    discard(members, sets)
     if more.isEmpty():
         return component
     return connected(links.unionByName(more))
@@ -440,7 +484,7 @@ def kept(docs: DataFrame, rule: Rule) -> DataFrame:
     roots = joined(own, rule)
     lead = by_class.join(roots, by_class["class"] == roots["node"], "left").groupBy(F.coalesce("root", "class").alias("root")).agg(F.min("lead").alias("lead"))
     lead = lead.select(F.col("lead.doc_id").alias(doc), F.col("lead.class").alias(lead_))
-    marked = docs.mapInArrow(classed, StructType([*docs.schema.fields]).add(mark, LongType()))
+    marked = docs.mapInArrow(tidy(classed), StructType([*docs.schema.fields]).add(mark, LongType()))
     whole = marked.where(F.col(mark) != 0).join(lead, (F.col(mark) == F.col(lead_)) & F.col("doc_id").cast("long").eqNullSafe(F.col(doc)), "left_semi")
     first = whole.dropDuplicates(["doc_id", mark])
     return first.unionByName(marked.where(F.col(mark) == 0)).select(*(F.col(f"`{c}`") for c in docs.columns))
