@@ -1,22 +1,27 @@
 """Language identification by cross-parsing entropy.
 
-A suffix automaton is built of labelled text for each language and completed to a transducer: a transition that the
-automaton lacks ends a phrase and starts the next one. A text is parsed against every language; the language for which
-phrases * log2(training length) / characters is least wins. Texts are parsed in blocks of `BLOCK` letters, so that
-thousands of blocks step through the transducers together; a phrase ends at a block's end, for all languages alike.
+A suffix automaton is built of labelled text for each language. A text is parsed against every language: a phrase is the
+longest match that begins where the last phrase ended; a letter that the automaton lacks is a phrase of its own. The
+language for which phrases * log2(training length) / characters is least wins. Automata stand in one sparse table (row
+displacement: an edge has a slot, and nothing is kept for those that are missing). Texts are cut in blocks of `BLOCK`
+letters that step through the table together, from the root at first; a block whose predecessor ends in another state is
+parsed again from there, until no block's first state changes. So the phrases are those of the whole text, at any `BLOCK`.
 
 Semantics
 - Letters are lower-cased; each run of anything else is one separator. The whole text counts.
 - Null texts and texts without a letter are `und` with score 0; so is every text if nothing could be learned.
 - score = (second least entropy - least) / second least; 1 with a single language. Ties: the first by code point.
-- Learned from at most about 1.5 * `docs_each` documents a language, `chars_each` characters of each, picked by a hash
-  of doc_id; never from rows that `train` excludes, nor from null lang. Only text and lang are read, and doc_id for the
-  split. An empty table gives an empty result; repeated rows agree; extra columns are kept or replaced by name.
+- Learned from about `PIECES` pieces a language, of `PIECE` characters each, picked by hash from anywhere in the labelled
+  texts; never from rows that `train` excludes, nor from null lang. Only text and lang are read, and doc_id for the split.
+  There may be `MOST_LANGUAGES` at most. An empty table gives an empty result; repeated rows agree; extra columns are
+  kept or replaced by name.
+- `accepted` keeps the rows in a wanted language that the text fits: one that is coded in at most `UNFIT` of the bits
+  that single letters would take is in that language, and short texts get `SLACK` bits more.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -25,10 +30,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from impactlens.llm.common import ragged, slices, utf8
+from impactlens.llm.common import ragged, remembers, slices, tidy, utf8
 
-BLOCK = 256
-DOCS_EACH, CHARS_EACH = 48, 500
+BLOCK = 512
+PIECES, PIECE, MOST_LANGUAGES = 64, 400, 1000
+UNFIT, SLACK = 0.9, 60.0
 UND = "und"
 
 
@@ -44,11 +50,12 @@ def letters() -> np.ndarray:
     return out
 
 
-def automaton(word: list[int], symbols: int) -> np.ndarray:
-    """The suffix automaton of word: next state by state and symbol, -1 if none; state 0 is the root."""
-    size = 2 * len(word) + 2
-    to = np.full((size, symbols), -1, np.int32)
-    rows = [dict() for _ in range(1)]
+remembers("langid", letters.cache_clear)
+
+
+def automaton(word: list[int]) -> list[dict[int, int]]:
+    """The suffix automaton of word: each state's edges, by symbol; state 0 is the root."""
+    rows: list[dict[int, int]] = [{}]
     length, link, last = [0], [-1], 0
     for c in word:
         now = len(rows)
@@ -73,14 +80,40 @@ def automaton(word: list[int], symbols: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[now] = twin
         last = now
-    for state, row in enumerate(rows):
-        for c, target in row.items():
-            to[state, c] = target
-    return to[: len(rows)]
+    return rows
+
+
+def displaced(rows: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """base by state, and slots: state * 2^32 + target at base + symbol for each edge, -1 elsewhere. Any base + symbol is
+    a slot. States of several edges look for a base at random, while half of the slots stay free; those of one take what
+    is left."""
+    edges = sum(map(len, rows))
+    size = 2 * edges + 2 * width
+    slots = np.full(size, -1, np.int64)
+    base = np.full(len(rows), width, np.int64)
+    rng = np.random.default_rng(1)
+    for state in sorted((k for k in range(len(rows)) if len(rows[k]) > 1), key=lambda k: -len(rows[k])):
+        symbols = np.fromiter(rows[state], np.int64, len(rows[state]))
+        targets = np.fromiter(rows[state].values(), np.int64, len(symbols))
+        while True:
+            tries = rng.integers(0, size - width, 8)
+            free = np.flatnonzero((slots[tries[:, None] + symbols] < 0).all(1))
+            if len(free):
+                break
+        base[state] = tries[free[0]]
+        slots[base[state] + symbols] = (state << 32) | targets
+    single = np.array([k for k in range(len(rows)) if len(rows[k]) == 1], np.int64)
+    symbols = np.array([next(iter(rows[k])) for k in single.tolist()], np.int64)
+    targets = np.array([next(iter(rows[k].values())) for k in single.tolist()], np.int64)
+    free = np.flatnonzero(slots < 0)
+    free = free[(free >= width) & (free < size - width)][: len(single)]
+    base[single] = free - symbols
+    slots[free] = (single << 32) | targets
+    return base, slots
 
 
 class Model:
-    """Transducers of all languages in one table; an entry is 4 * (target's row start) + phrases ended."""
+    """The automata of all languages, states and slots numbered through."""
 
     def __init__(self, samples: dict[str, list[str]]):
         self.languages = sorted(samples)
@@ -88,47 +121,51 @@ class Model:
         coded = {k: [lower[np.frombuffer(t.encode("utf-32-le", "replace"), np.uint32)] for t in v] for k, v in samples.items()}
         alphabet = np.unique(np.concatenate([np.zeros(1, np.int32), *(x for v in coded.values() for x in v)]))
         self.known = alphabet[alphabet > 0]
-        # 0: separator; 1..n: known letters; n + 1: other letters; n + 2: end of a block; n + 3: between samples.
+        # 0: separator; 1..n: known letters; n + 1: other letters; n + 2: end of a text; n + 3: between samples.
         n = len(self.known)
         self.other, self.end, between = n + 1, n + 2, n + 3
-        self.width = n + 3
-        tables, starts, self.lengths, base = [], [], [], 0
+        width = n + 4
+        bases, slots, roots, jumps, misses, lengths, own = [], [], [], [], [], [], []
+        states = room = 0
         for name in self.languages:
             word: list[int] = []
             for x in coded[name]:
-                word += self.classes(x)[0].tolist() + [between]
-            delta = automaton(word, n + 4)[:, : self.width]
-            states = len(delta) + 1  # the last: past the end
-            table = np.zeros((states, self.width), np.int64)
-            root = delta[0]
-            jump = np.where(root >= 0, root, 0)
-            table[:-1] = np.where(delta >= 0, delta * 4, jump * 4 + np.where(root >= 0, 1, 2))
-            table[0] = np.where(root >= 0, root * 4, 1)
-            past = states - 1
-            table[:, self.end] = past * 4 + 1
-            table[0, self.end] = table[past, :] = past * 4
-            target, ended = table // 4, table % 4
-            tables.append((((target + base) * self.width) * 4 + ended).ravel())
-            starts.append(base * self.width)
-            self.lengths.append(len(word))
-            base += states
-        kind = np.int32 if base * self.width * 4 < 2**31 else np.int64
-        self.table = (np.concatenate(tables) if tables else np.zeros(0)).astype(kind)
-        self.starts = np.array(starts, kind)
-        self.bits = np.log2(np.array(self.lengths, np.float64) + 1)
-
-    def classes(self, lowered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Symbols of lowered code points, runs of separators as one, none at the start; and what was kept."""
-        place = np.searchsorted(self.known, lowered)
-        known = (place < len(self.known)) & (self.known[np.minimum(place, len(self.known) - 1)] == lowered) if len(self.known) else np.zeros(len(lowered), bool)
+                word += self.classes(x).tolist() + [between]
+            rows = automaton(word)
+            base, slot = displaced(rows, width)
+            bases.append(base + room)
+            slots.append(np.where(slot < 0, -1, slot + ((states << 32) | states)))
+            jump = np.full(width, states)
+            jump[list(rows[0])] = np.array(list(rows[0].values()), np.int64) + states
+            jump[[self.end, between]] = states
+            jumps.append(jump)
+            miss = np.ones(width, np.int64)
+            miss[[*rows[0], self.end]] = 0
+            misses.append(miss)
+            roots.append(states)
+            lengths.append(len(word))
+            own.append(len({c for c in word if c != between}) + 1)
+            states, room = states + len(rows), room + len(slot)
+        joined = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
+        self.base, self.slots = joined(bases, np.int64), joined(slots, np.int64)
+        self.roots, self.width = np.array(roots, np.int64), width
+        #: Where a letter leads, and the phrases that it makes, where no phrase goes on; by language and symbol.
+        self.jump, self.miss = joined(jumps, np.int64), joined(misses, np.int64)
+        self.bits = np.log2(np.array(lengths, np.float64) + 1)
+        self.letter_bits = np.log2(np.array(own, np.float64))
+
+    def classes(self, lowered: np.ndarray) -> np.ndarray:
+        """Symbols of lowered code points, runs of separators as one, none at the start."""
+        place = np.minimum(np.searchsorted(self.known, lowered), max(0, len(self.known) - 1))
+        known = self.known[place] == lowered if len(self.known) else np.zeros(len(lowered), bool)
         symbol = np.where(lowered == 0, 0, np.where(known, place + 1, self.other))
         keep = symbol > 0
         keep[1:] |= symbol[:-1] > 0
-        return symbol[keep], keep
+        return symbol[keep]
 
     def lookup(self) -> np.ndarray:
         """Symbol by code point."""
-        table = np.where(letters() > 0, self.other, 0).astype(np.uint16)
+        table = np.where(letters() > 0, self.other, 0).astype(np.int32)
         place = np.searchsorted(self.known, letters())
         place = np.minimum(place, max(0, len(self.known) - 1))
         if len(self.known):
@@ -136,31 +173,50 @@ class Model:
             table[hit] = place[hit] + 1
         return table
 
+    def steps(self, grid: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Last state and phrases ended, by language and lane. grid: a row for each place, a column for each lane."""
+        state = np.ascontiguousarray(state)
+        ended = np.zeros(state.size, np.int64)
+        lanes, index, slot = state.shape[1], np.empty_like(state), np.empty_like(state)
+        for row in grid:
+            np.take(self.base, state, out=index, mode="clip")
+            index += row
+            np.take(self.slots, index, out=slot, mode="clip")
+            lost = np.flatnonzero((slot >> 32) != state)
+            language = lost // lanes
+            by = language * self.width + row[lost - language * lanes]
+            ended[lost] += (state.ravel()[lost] != self.roots[language]) + self.miss[by]
+            state = slot & 0xFFFFFFFF
+            state.ravel()[lost] = self.jump[by]
+        return state, ended.reshape(state.shape)
+
     def parse(self, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Phrases by language and text, for texts of the given lengths one after the other."""
-        lanes_of = -(-lengths // BLOCK)
-        first = np.concatenate([[0], np.cumsum(lanes_of)])
+        many = np.maximum(1, -(-lengths // BLOCK))
+        first = np.concatenate([[0], np.cumsum(many)])
         lanes = int(first[-1])
-        grid = np.full(lanes * BLOCK, self.end, self.starts.dtype)
+        grid = np.full(lanes * BLOCK, self.end, np.int64)
         grid[ragged(first[:-1] * BLOCK, lengths)] = symbols
-        grid = np.ascontiguousarray(grid.reshape(lanes, BLOCK).T)
-        state = np.repeat(self.starts[:, None], lanes, 1)
-        phrases = np.zeros((len(self.starts), lanes), np.int32)
-        index, entry = np.empty_like(state), np.empty_like(state)
-        for row in [*grid, np.full(lanes, self.end, self.starts.dtype)]:
-            np.add(state, row, out=index)
-            np.take(self.table, index, out=entry, mode="clip")
-            phrases += entry & 3
-            np.right_shift(entry, 2, out=state)
-        total = np.concatenate([np.zeros((len(self.starts), 1), np.int64), np.cumsum(phrases, 1, dtype=np.int64)], 1)
+        grid = np.ascontiguousarray(grid.reshape(lanes, BLOCK)[:, : min(BLOCK, int(lengths.max(initial=0)))].T)
+        begins = np.zeros(lanes + 1, bool)
+        begins[first] = True
+        entry = np.repeat(self.roots[:, None], lanes, 1)
+        leave, ended = self.steps(grid, entry)
+        while True:
+            before = np.concatenate([entry[:, :1], leave[:, :-1]], 1)
+            again = np.flatnonzero(~begins[:-1] & (before != entry).any(0))
+            if not len(again):
+                break
+            entry[:, again] = before[:, again]
+            leave[:, again], ended[:, again] = self.steps(grid[:, again], entry[:, again])
+        ended += (leave != self.roots[:, None]) & begins[1:]  # the phrase that is open at the text's end
+        total = np.concatenate([np.zeros((len(self.roots), 1), np.int64), np.cumsum(ended, 1)], 1)
         return total[:, first[1:]] - total[:, first[:-1]]
 
 
-
-def judged(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of batches with the language and score of each row."""
+def judged(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Slices of batches with each row's language and score, and whether it fits that language."""
     table = model.lookup()
-    lower = letters()
     names = np.array([*model.languages, UND], object)
     for batch in slices(batches):
         data, offsets = utf8(batch.column("text"))
@@ -175,29 +231,39 @@ def judged(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa
         lengths = np.diff(kept)
         some = np.concatenate([[0], np.cumsum(symbols > 0)])[heads]
         some = np.diff(some) > 0
-        best, score = np.full(len(lengths), len(names) - 1), np.zeros(len(lengths))
+        best, score, fits = np.full(len(lengths), len(names) - 1), np.zeros(len(lengths)), np.zeros(len(lengths), bool)
         if len(model.languages) and some.any():
-            entropy = model.parse(symbols[keep], lengths) * model.bits[:, None] / np.maximum(lengths, 1)
+            bits = model.parse(symbols[keep], lengths) * model.bits[:, None]
+            entropy = bits / np.maximum(lengths, 1)
             order = np.sort(entropy, 0)
             margin = (order[1] - order[0]) / np.maximum(order[1], 1e-12) if len(order) > 1 else np.ones(len(lengths))
-            best, score = np.where(some, entropy.argmin(0), best), np.where(some, margin, 0.0)
-        yield batch, names[best], score
+            least = entropy.argmin(0)
+            best, score = np.where(some, least, best), np.where(some, margin, 0.0)
+            fits = some & (bits.min(0) <= UNFIT * lengths * model.letter_bits[least] + SLACK)
+        yield batch, names[best], score, fits
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, docs_each: int = DOCS_EACH, chars_each: int = CHARS_EACH) -> Model:
-    """Two passes: labelled texts by language are counted, then a hash picks about docs_each of each language."""
+def fit(docs: DataFrame, pieces: int = PIECES, piece: int = PIECE) -> Model:
+    """Two passes: pieces of labelled texts are counted by language, then a hash picks about `pieces` of each, wherever in
+    a text they stand. What comes to the driver is bounded by MOST_LANGUAGES and 1.5 * pieces * piece characters."""
     labelled = docs.where("lang is not null and text is not null").where(F.length("text") > 0)
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
-    pick = (F.xxhash64(F.col("doc_id").cast("string")) / float(1 << 63)) * 0.5 + 0.5
-    sample = labelled.select("lang", F.substring("text", 1, chars_each).alias("text"), pick.alias("pick"))
-    # One row per language: as small as the set of languages.
-    sample = sample.join(F.broadcast(counts), "lang").where(F.col("pick") * F.col("n") < docs_each)
+    many = F.ceil(F.length("text") / piece).cast("int")
+    counts = labelled.groupBy("lang").agg(F.sum(many).alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    if not counts:
+        return Model({})
+    share = F.broadcast(docs.sparkSession.createDataFrame([(r["lang"], min(1.0, pieces / r["n"])) for r in counts], "lang string, share double"))
+    cut = labelled.select("lang", "text", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("h"), F.explode(F.sequence(F.lit(0), many - 1)).alias("k"))
+    pick = F.xxhash64("h", "k") / float(1 << 64) + 0.5
+    sample = cut.withColumn("pick", pick).join(share, "lang").where(F.col("pick") < F.col("share"))
+    rows = sample.select("lang", "pick", F.substring("text", F.col("k") * piece + 1, F.lit(piece)).alias("text")).collect()
     samples: dict[str, list[str]] = {}
-    for row in sorted(sample.collect(), key=lambda r: (r["lang"], r["pick"], r["text"])):
+    for row in sorted(rows, key=lambda r: (r["lang"], r["pick"], r["text"])):
         samples.setdefault(row["lang"], []).append(row["text"])
     return Model(samples)
 
@@ -205,22 +271,27 @@ def fit(docs: DataFrame, docs_each: int = DOCS_EACH, chars_each: int = CHARS_EAC
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred and score; columns of these names are replaced."""
     docs = docs.drop("lang_pred", "score")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, names, score in judged(model, batches):
+        for batch, names, score, _ in judged(shared.value, batches):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(score)], names=[*batch.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(marked, StructType([*docs.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType()))
+    return docs.mapInArrow(tidy(marked, "langid"), StructType([*docs.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType()))
 
 
-def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs in which a language was found, with docs' own columns."""
+def accepted(docs: DataFrame, model: Model, wanted: Collection[str] | None = None, least_score: float = 0.0) -> DataFrame:
+    """The rows of docs that are in a wanted language (any that was learned, if none are named), fit it and have at least
+    this score; docs' own columns."""
+    names_wanted = frozenset(model.languages if wanted is None else wanted)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, names, _ in judged(model, batches):
-            yield batch.filter(pa.array([n != UND for n in names], pa.bool_()))
+        for batch, names, score, fits in judged(shared.value, batches):
+            own = np.fromiter((n in names_wanted for n in names), bool, len(names))
+            yield batch.filter(pa.array(own & fits & (score >= least_score)))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return docs.mapInArrow(tidy(kept, "langid"), docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
