@@ -1,22 +1,27 @@
 """Personal data: a character-level bidirectional LSTM with CRF transitions, beside fixed base patterns.
 
-The base patterns find emails, IP addresses, card numbers and phone numbers; the model adds spans that they miss (phone
-numbers without a plus sign, cards of 13 to 15 digits, cards with dots). It is trained in numpy, on labelled spans that
-a seeded generator sets into lines of made-up words with decoys (dates, versions, keys, prices). Texts are read in
-overlapping windows; each is decoded by Viterbi, and the windows' spans are reconciled over the whole text: the
-non-overlapping set of greatest total score wins. A span that the model adds must satisfy its kind's check.
+The base patterns find emails, IP addresses, card numbers and phone numbers; the model adds spans that they miss: phone
+numbers without a plus sign, cards of 13 to 15 digits or with dots, addresses written with [at] and [dot] or [.], IPv6.
+It is trained in numpy, on labelled spans that a seeded generator sets into lines of made-up words with decoys (dates,
+versions, keys, prices, numbers in groups of three). Texts are read in overlapping windows; each is decoded by Viterbi,
+and the windows' spans are reconciled over the whole text: the non-overlapping set of greatest total score wins. The
+model decides; what it adds must only be possible for its kind (checksum, number of digits, characters).
 
 Semantics
-- Base spans always stay; added ones never overlap a span of their kind. Offsets are code points, ends exclusive.
-- Every span of these kinds holds a digit or @, so windows without either are decoded as empty without being computed.
+- Base spans always stay; added ones overlap no base span. Offsets are code points, ends exclusive.
+- Every span of these kinds holds a digit, @ or a bracketed `at`, so windows without any are decoded as empty without
+  being computed. Behind a text's end, windows are filled with a symbol that training shows there, too.
 - Null and empty texts have no spans. Repeated rows agree; an empty table gives an empty result; extra columns are
-  ignored. Each text is scanned as a whole, in time proportional to its length.
+  ignored. Each text is scanned as a whole, in time proportional to its length. A span of more than WINDOW - STRIDE
+  characters may be missed by the model.
 """
 
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,10 +29,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from impactlens.llm.common import slices, utf8
+from impactlens.llm.common import slices, tidy, utf8
 
 KINDS = ["email", "ip", "card", "phone"]
-WINDOW, STRIDE = 64, 32
+WINDOW, STRIDE = 80, 32
 HIDDEN, EMBEDDING = 16, 12
 SYMBOLS = 130  # ASCII, other letters, the rest
 TAGS = 1 + 2 * len(KINDS)  # outside; then begin and inside for each kind
@@ -77,15 +82,25 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+AT, DOT = re.compile(r"\s*[\[({]\s?at\s?[\])}]\s*", re.I), re.compile(r"\s*[\[({]\s?(?:dot|\.)\s?[\])}]\s*", re.I)
+
+
 def checked(kind: str, text: str) -> bool:
-    """Whether a span that the model adds is of its kind."""
+    """Whether what the model marks can be of its kind at all."""
+    d = digits(text)
     if kind == "card":
-        return 13 <= len(d := digits(text)) <= 19 and luhn(d) and re.fullmatch(r"[0-9](?:[ .-]?[0-9])+", text) is not None and len(set(d)) > 2
+        return 13 <= len(d) <= 19 and luhn(d) and len(set(d)) > 2 and re.fullmatch(r"[0-9](?:[ .-]?[0-9])+", text) is not None
     if kind == "phone":
-        return re.fullmatch(r"(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}", text) is not None
+        return 8 <= len(d) <= 15 and d != text and re.fullmatch(r"[+(]?[0-9][0-9 ()./-]*[0-9]", text) is not None
     if kind == "ip":
-        return re.fullmatch(r"[0-9]+(?:\.[0-9]+){3}", text) is not None and all(len(x) < 4 and int(x) < 256 for x in text.split("."))
-    return re.fullmatch(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", text) is not None
+        plain = DOT.sub(".", text)
+        if ":" not in plain:
+            return re.fullmatch(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", plain) is not None and all(int(x) < 256 for x in plain.split("."))
+        try:
+            return bool(ipaddress.IPv6Address(plain))
+        except ValueError:
+            return False
+    return re.fullmatch(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", DOT.sub(".", AT.sub("@", text))) is not None
 
 
 def symbols(text: str) -> np.ndarray:
@@ -96,50 +111,71 @@ def symbols(text: str) -> np.ndarray:
 # Labelled spans for training.
 
 
-def _line(rng: np.random.Generator) -> tuple[str, list[tuple[str, int, int]]]:
-    letters = "etaoinshrdlucmfwypvbgkqjxzéèñüß"
-    word = lambda: "".join(rng.choice(list(letters), int(rng.integers(1, 10))))
-    num = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+PHONES = ["(9##) ###-####", "9##-###-####", "9##.###.####", "9## ### ####", "0## #### ####", "0# ## ## ## ##", "(9##)###-####", "1-9##-###-####", "+1 9##-###-####", "+1 (9##) ###-####", "+44 20 #### ####", "0###/#######", "0### ######", "+49 ### #######"]
+LEAD = {"phone": ["tel", "call", "phone", "Tel.:", "fax:", "ring", "mobile"], "email": ["mail", "write to", "contact:"], "ip": ["host", "from", "server"], "card": ["card", "visa", "paid with"]}
+DECOYS = [
+    "####-##-##", "##/##/####", "##.##.####", "##:##", "##:##:##", "#.#", "v#.##.#", "#.#.#", "$###.##", "## ###", "# ### ###", "### ### ###", "####-####", "#####|####", "##%", "#", "##", "####", "######", "##########", "###-##-####",
+    "978-#-##-######-#", "@~", "~@~", "(at) ##", "~ [#]", "[##]", "AKIA####JLEK###", "password=####ef###", "4.0.", "no. ####/##", "x-##-###", "###-####",
+]
 
-    def card(n: int, sep: str) -> str:
-        d = "4" + num(n - 2)
+
+def _line(rng: np.random.Generator) -> tuple[str, list[tuple[str, int, int]]]:
+    """A window of text and its spans: words, decoys and labelled spans. Some end before the window does."""
+    letters = list("etaoinshrdlucmfwypvbgkqjxzéèñüß")
+    pick = lambda x: x[int(rng.integers(0, len(x)))]
+    word = lambda: "".join(rng.choice(letters, int(rng.integers(1, 10))))
+    plain = lambda: word().encode("ascii", "ignore").decode() or "a"
+    digit = {"#": "0123456789", "9": "23456789"}
+
+    def shaped(shape: str, marks: str = "#") -> str:
+        return "".join(pick(digit[c]) if c in marks else word() if c == "~" else c for c in shape)
+
+    def card() -> str:
+        n, sep = int(pick([13, 14, 15, 16, 16, 19])), pick(["", " ", "-", "."])
+        d = pick("3456") + shaped("#" * (n - 2))
         d += next(c for c in "0123456789" if luhn(d + c))
-        if not sep:
-            return d
-        return sep.join(d[i : i + 4] for i in range(0, n, 4))
-
-    def span() -> tuple[str, str]:
-        k = int(rng.integers(0, 4))
-        if k == 0:
-            return "email", f"{word()[:6].encode('ascii', 'ignore').decode() or 'a'}.{num(2)}@mail{num(1)}.{rng.choice(['example.com', 'web.org', 'site.co.uk'])}"
-        if k == 1:
-            return "ip", ".".join(str(x) for x in rng.integers(0, 256, 4))
-        if k == 2:
-            return "card", card(int(rng.choice([13, 14, 15, 16, 16])), str(rng.choice(["", " ", "-", "."])))
-        head = str(rng.choice(["", "", "+1 ", "+44 "]))
-        return "phone", head + str(rng.choice([f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}"]))
-
-    def decoy() -> str:
-        return str(rng.choice([f"{num(4)}-{num(2)}-{num(2)}", f"{num(1)}.{num(1)}", f"v{num(1)}.{num(2)}.{num(1)}", "AKIA" + num(5) + "JLEK" + num(3), num(int(rng.integers(1, 9))), f"${num(3)}.{num(2)}", "@" + word(), f"{num(2)}:{num(2)}", "4.0.", num(5) + "|" + num(4), "ab" + num(6) + "cd" + num(3), f"password={num(6)}ef{num(3)}"]))
+        cuts = [4, 10] if n in (14, 15) and rng.random() < 0.7 else range(4, n, 4)
+        return sep.join(d[i:j] for i, j in zip([0, *cuts], [*cuts, n], strict=True))
+
+    def email() -> str:
+        user = pick([plain(), f"{plain()}.{plain()}", f"{plain()}{shaped('##')}", f"{plain()}_{plain()}", f"{plain()}.{shaped('##')}"])
+        host, end = pick([f"mail{shaped('#')}.example", plain(), f"{plain()}-{plain()}"]), pick(["com", "org", "net", "co.uk", "de", "fr"])
+        at, dot = pick([("@", "."), (" [at] ", " [dot] "), ("(at)", "."), (" (at) ", " (dot) "), ("[at]", "[dot]"), ("[at]", ".")])
+        return f"{user}{at}{host}{dot}{end}"
+
+    def ip() -> str:
+        if rng.random() < 0.25:
+            groups = [f"{int(x):x}" for x in rng.integers(1, 65536, 8)]
+            return ":".join(groups) if rng.random() < 0.4 else ":".join(groups[: int(rng.integers(1, 4))]) + "::" + ":".join(groups[: int(rng.integers(1, 4))])
+        return pick([".", ".", "[.]"]).join(str(x) for x in rng.integers(0, 256, 4))
 
     text, spans = "", []
-    while len(text) < WINDOW:
+    while len(text) < 2 * WINDOW:
         roll = rng.random()
-        if roll < 0.22:
-            kind, s = span()
+        if roll < 0.24:
+            kind = pick(KINDS)
+            if rng.random() < 0.3:
+                text += pick(LEAD[kind]) + " "
+            s = {"email": email, "ip": ip, "card": card, "phone": lambda: shaped(pick(PHONES), "#9")}[kind]()
             spans.append((kind, len(text), len(text) + len(s)))
             text += s
-        elif roll < 0.4:
-            text += decoy()
+        elif roll < 0.45:
+            text += shaped(pick(DECOYS)) if rng.random() < 0.9 else "".join(rng.choice(list("0123456789abcdef"), int(rng.integers(16, 41))))
         else:
-            text += word()
-        text += str(rng.choice([" ", " ", " ", ", ", ". ", ".\n"]))
-    at = int(rng.integers(0, max(1, len(text) - WINDOW + 1)))
-    return text[at : at + WINDOW], [(k, max(0, a - at), min(WINDOW, b - at)) for k, a, b in spans if b > at and a < at + WINDOW]
+            text += word() if rng.random() < 0.9 else word().upper()
+        text += pick([" ", " ", " ", ", ", ". ", ".\n", " (", ") ", ": ", "; "])
+    at = int(rng.integers(0, WINDOW))
+    if rng.random() < 0.4:  # the text's beginning, or its end
+        at = 0 if rng.random() < 0.4 else at
+        stop = min(len(text), at + int(rng.integers(3, WINDOW)))
+        stop = next((b for _, a, b in spans if a < stop < b and b <= at + WINDOW), stop)
+    else:
+        stop = at + WINDOW
+    return text[at:stop], [(k, max(0, a - at), min(stop, b) - at) for k, a, b in spans if b > at and a < stop]
 
 
 def labelled(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols and tags of n windows."""
+    """Symbols and tags of n windows; 0 stands behind the text's end."""
     rng = np.random.default_rng(seed)
     x, y = np.zeros((n, WINDOW), np.int64), np.zeros((n, WINDOW), np.int64)
     for i in range(n):
@@ -158,37 +194,40 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def _lstm(inputs: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, list]:
-    """inputs: the gates' input part, time x batch x 4H; returns hidden states and what the backward pass needs."""
-    steps, batch, _ = inputs.shape
-    h, c = np.zeros((batch, HIDDEN), np.float32), np.zeros((batch, HIDDEN), np.float32)
-    out, kept = np.zeros((steps, batch, HIDDEN), np.float32), []
+def _lstm(inputs: np.ndarray, u: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
+    """Both directions at once. inputs: the gates' input part, time x direction x batch x 4H; u: direction x H x 4H.
+    Returns hidden states and, if asked for, what the backward pass needs."""
+    steps, both, batch, _ = inputs.shape
+    h, c = np.zeros((both, batch, HIDDEN), np.float32), np.zeros((both, batch, HIDDEN), np.float32)
+    out, kept = np.zeros((steps, both, batch, HIDDEN), np.float32), []
     for t in range(steps):
         z = inputs[t] + h @ u
-        s = _sigmoid(z[:, : 3 * HIDDEN])
-        i, f, o = s[:, :HIDDEN], s[:, HIDDEN : 2 * HIDDEN], s[:, 2 * HIDDEN :]
-        g = np.tanh(z[:, 3 * HIDDEN :])
+        s = _sigmoid(z[..., : 3 * HIDDEN])
+        i, f, o = s[..., :HIDDEN], s[..., HIDDEN : 2 * HIDDEN], s[..., 2 * HIDDEN :]
+        g = np.tanh(z[..., 3 * HIDDEN :])
         before, last = c, h
         c = f * c + i * g
         tc = np.tanh(c)
         h = o * tc
         out[t] = h
-        kept.append((i, f, o, g, before, tc, last))
+        if keep:
+            kept.append((i, f, o, g, before, tc, last))
     return out, kept
 
 
 def _lstm_back(d_out: np.ndarray, kept: list, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    steps, batch, _ = d_out.shape
-    dz_all, du = np.zeros((steps, batch, 4 * HIDDEN), np.float32), np.zeros_like(u)
-    dh, dc = np.zeros((batch, HIDDEN), np.float32), np.zeros((batch, HIDDEN), np.float32)
+    steps, both, batch, _ = d_out.shape
+    dz_all, du = np.zeros((steps, both, batch, 4 * HIDDEN), np.float32), np.zeros_like(u)
+    dh, dc = np.zeros((both, batch, HIDDEN), np.float32), np.zeros((both, batch, HIDDEN), np.float32)
+    back = u.transpose(0, 2, 1)
     for t in range(steps - 1, -1, -1):
         i, f, o, g, before, tc, last = kept[t]
         dh = dh + d_out[t]
         dc = dc + dh * o * (1 - tc * tc)
-        dz = np.concatenate([dc * g * i * (1 - i), dc * before * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g * g)], 1)
+        dz = np.concatenate([dc * g * i * (1 - i), dc * before * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g * g)], 2)
         dz_all[t] = dz
-        du += last.T @ dz
-        dh, dc = dz @ u.T, dc * f
+        du += last.transpose(0, 2, 1) @ dz
+        dh, dc = dz @ back, dc * f
     return dz_all, du
 
 
@@ -234,24 +273,28 @@ class Tagger:
         """Scores by time, window and tag. x: windows x time. The input part of the gates is one lookup per symbol."""
         p = self.p
         flow = x.T
-        left, kl = _lstm((p["e"] @ p["wl"] + p["bl"])[flow], p["ul"])
-        right, kr = _lstm((p["e"] @ p["wr"] + p["br"])[flow[::-1]], p["ur"])
-        both = np.concatenate([left, right[::-1]], 2)
+        inputs = np.stack([(p["e"] @ p["wl"] + p["bl"])[flow], (p["e"] @ p["wr"] + p["br"])[flow[::-1]]], 1)
+        hidden, kept = _lstm(inputs, np.stack([p["ul"], p["ur"]]), keep)
+        both = np.concatenate([hidden[:, 0], hidden[::-1, 1]], 2)
         scores = both @ p["out"] + p["bias"]
-        return (scores, both, kl, kr) if keep else scores
+        return (scores, both, kept) if keep else scores
 
     def step(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         p, flow = self.p, x.T
-        scores, both, kl, kr = self.emissions(x, keep=True)
+        scores, both, kept = self.emissions(x, keep=True)
         loss, d_scores, d_moves = _crf_gradient(scores.astype(np.float64), p["moves"].astype(np.float64), y)
         d_scores = d_scores.astype(np.float32)
-        g = {"moves": d_moves, "bias": d_scores.sum((0, 1)), "out": np.einsum("tbh,tbk->hk", both, d_scores), "e": np.zeros_like(p["e"])}
+        wide = both.reshape(-1, both.shape[2])
+        g = {"moves": d_moves, "bias": d_scores.sum((0, 1)), "out": wide.T @ d_scores.reshape(len(wide), -1), "e": np.zeros_like(p["e"])}
         d_both = d_scores @ p["out"].T
-        for d, kept, part, order in (("l", kl, d_both[:, :, :HIDDEN], flow), ("r", kr, d_both[::-1, :, HIDDEN:], flow[::-1])):
-            dz, g[f"u{d}"] = _lstm_back(part, kept, p[f"u{d}"])
+        dz, du = _lstm_back(np.stack([d_both[:, :, :HIDDEN], d_both[::-1, :, HIDDEN:]], 1), kept, np.stack([p["ul"], p["ur"]]))
+        for k, (d, order) in enumerate((("l", flow), ("r", flow[::-1]))):
+            # Which symbol stood where, as a sparse sum: sorted runs.
+            sort = np.argsort(order.ravel(), kind="stable")
+            seen, first = np.unique(order.ravel()[sort], return_index=True)
             by = np.zeros((SYMBOLS, 4 * HIDDEN), np.float32)
-            np.add.at(by, order.ravel(), dz.reshape(-1, 4 * HIDDEN))
-            g[f"w{d}"], g[f"b{d}"] = p["e"].T @ by, by.sum(0)
+            by[seen] = np.add.reduceat(dz[:, k].reshape(-1, 4 * HIDDEN)[sort], first, axis=0)
+            g[f"u{d}"], g[f"w{d}"], g[f"b{d}"] = du[k], p["e"].T @ by, by.sum(0)
             g["e"] += by @ p[f"w{d}"].T
         return loss, g
 
@@ -275,7 +318,8 @@ class Tagger:
                     self.p[k] = (self.p[k] - now * (m[k] / (1 - 0.9**n)) / (np.sqrt(v[k] / (1 - 0.99**n)) + 1e-6)).astype(np.float32)
 
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Best tags of each window (Viterbi), and each place's margin of its tag's score over outside."""
+        """Best tags of each window (Viterbi), and how much each place, with the move to it, adds to the score of being
+        outside all along."""
         scores, moves = self.emissions(x), self.p["moves"]
         steps, batch, _ = scores.shape
         back = np.zeros((steps, batch, TAGS), np.int8)
@@ -291,22 +335,27 @@ class Tagger:
             tags[:, t - 1] = back[t, rows, tags[:, t]]
         flow = np.arange(steps)
         by_window = scores.transpose(1, 0, 2)
-        return tags, by_window[rows[:, None], flow, tags] - by_window[:, :, 0]
+        more = by_window[rows[:, None], flow, tags] - by_window[:, :, 0]
+        more[:, 1:] += moves[tags[:, :-1], tags[:, 1:]] - moves[0, 0]
+        return tags, more
 
 
 @lru_cache(maxsize=1)
-def trained(windows: int = 3000, epochs: int = 6) -> Tagger:
+def trained(windows: int = 5000, epochs: int = 7) -> Tagger:
     """The production model; the same each time."""
     tagger = Tagger()
     tagger.train(*labelled(windows, 11), epochs)
     return tagger
 
 
+MARKED = re.compile(r"[0-9@]|[\[({]\s?at\s?[\])}]", re.I)
+
+
 def model_spans(tagger: Tagger, texts: list[str]) -> list[list[tuple[str, int, int]]]:
     """The model's spans in each text, windows reconciled over the whole text."""
     rows, starts, parts = [], [], []
     for i, text in enumerate(texts):
-        marked = [m.start() for m in re.finditer(r"[0-9@]", text)]
+        marked = [m.start() for m in MARKED.finditer(text)]
         own = {w for p in marked for w in range(max(0, (p - WINDOW) // STRIDE + 1), p // STRIDE + 1) if w * STRIDE < len(text)}
         coded = np.concatenate([symbols(text), np.zeros(WINDOW, np.int64)]) if own else None
         for w in sorted(own):
@@ -314,8 +363,8 @@ def model_spans(tagger: Tagger, texts: list[str]) -> list[list[tuple[str, int, i
             starts.append(w * STRIDE)
             parts.append(coded[w * STRIDE : w * STRIDE + WINDOW])
     found: list[list[tuple[float, int, int, str]]] = [[] for _ in texts]
-    for at in range(0, len(parts), 2048):
-        tags, margin = tagger.decode(np.array(parts[at : at + 2048]))
+    for at in range(0, len(parts), 1024):
+        tags, margin = tagger.decode(np.array(parts[at : at + 1024]))
         for k in np.flatnonzero(tags.any(1)).tolist():
             i, start = rows[at + k], starts[at + k]
             row, t = tags[k].tolist(), 0
@@ -329,7 +378,8 @@ def model_spans(tagger: Tagger, texts: list[str]) -> list[list[tuple[str, int, i
                     to += 1
                 # A span that touches an inner edge of the window is left to the neighbour that sees all of it.
                 if start + t < len(texts[i]) and (t > 0 or start == 0) and (to < WINDOW or start + WINDOW >= len(texts[i])):
-                    found[i].append((float(margin[k, t:to].sum()), start + t, min(start + to, len(texts[i])), KINDS[kind]))
+                    stop = to + (to < WINDOW and row[to] == 0)  # with the move out of the span
+                    found[i].append((float(margin[k, t:stop].sum()), start + t, min(start + to, len(texts[i])), KINDS[kind]))
                 t = to
     return [reconciled(f) for f in found]
 
@@ -363,12 +413,18 @@ def trimmed(text: str, start: int, end: int) -> tuple[int, int]:
 
 
 def all_spans(text: str, base: list[tuple[str, int, int]], proposed: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Base spans and those proposed (which overlap none of each other) that are possible and overlap no base span."""
     out = list(base)
+    ordered = sorted((a, b) for _, a, b in base)
+    starts, reach = [a for a, _ in ordered], []
+    for _, b in ordered:
+        reach.append(max(b, reach[-1] if reach else 0))
     for kind, a, b in proposed:
         a, b = trimmed(text, a, b)
         alone = a < b and (a == 0 or not text[a - 1].isalnum()) and (b == len(text) or not text[b].isalnum())
-        # Digits of a longer number, or of a base span of any kind, are no phone or card of their own.
-        if alone and checked(kind, text[a:b]) and not any(x < b and a < y for _, x, y in out) and text[max(0, a - 1) : a] not in ("+", "-", ".") and text[b : b + 1] != "-":
+        before = bisect_left(starts, b)
+        # Digits of a longer number are no phone or card of their own.
+        if alone and checked(kind, text[a:b]) and not (before and reach[before - 1] > a) and text[max(0, a - 1) : a] not in ("+", "-", ".") and text[b : b + 1] != "-":
             out.append((kind, a, b))
     return sorted(out, key=lambda s: (KINDS.index(s[0]), s[1]))
 
@@ -377,31 +433,33 @@ def listed(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"
 
 
 def find(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
-    """Counts of the base spans, a digest of them, and all spans, for each row."""
+    """Counts of the base spans, a digest of them, all spans and how many they are, for each row."""
     tagger = tagger or trained()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = np.zeros(256, bool)
-        marks[[*b"0123456789@"]] = True
+        marks[[*b"0123456789@[({"]] = True
         nothing = hashlib.sha256(b"").hexdigest()
         for batch in slices(batches):
             data, offsets = utf8(batch.column("text"))
             own = np.unique(np.searchsorted(offsets, np.flatnonzero(marks[data]), "right") - 1).tolist()
             texts = [batch.column("text")[i].as_py() for i in own]
             counts, digest, spans = np.zeros((len(KINDS), batch.num_rows), np.int64), [nothing] * batch.num_rows, [""] * batch.num_rows
+            many = np.zeros(batch.num_rows, np.int64)
             for i, text, proposed in zip(own, texts, model_spans(tagger, texts), strict=True):
                 base = base_spans(text)
                 for kind, _, _ in base:
                     counts[KINDS.index(kind), i] += 1
                 digest[i] = hashlib.sha256(listed(base).encode()).hexdigest()
-                spans[i] = listed(all_spans(text, base, proposed))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c) for c in counts), pa.array(digest, pa.string()), pa.array(spans, pa.string())], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+                both = all_spans(text, base, proposed)
+                spans[i], many[i] = listed(both), len(both)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c) for c in counts), pa.array(digest, pa.string()), pa.array(spans, pa.string()), pa.array(many)], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(rows, FOUND)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(tidy(rows), FOUND)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
