@@ -3,18 +3,21 @@
 Texts become token ids; ids are packed in blocks of `BLOCK` into 64-bit words whose top four bits say how many ids of
 how many bits the word holds. An id that no selector can hold stands in a word of its own after an escape word. Per
 block, the offset of its first word is kept, so that any block is decoded alone, and all blocks together without loops
-over ids. A segment holds a run of documents: a header, block offsets, words, and the documents' ids and counts.
+over ids. A file segment holds a run of documents: how many, the number of ids before them in their part, their doc_ids,
+their counts of ids (Simple-8b, too) and their ids.
 
 Semantics
 - A text's ids are the tokenizer's, without special tokens added, then `end`. Null is an empty text: `end` alone.
-- Documents stand in ascending doc_id order, nulls first, rows of equal doc_id by text. Repeated rows are all written.
-- Texts are cut at ASCII white space and each distinct piece is encoded once; that is right for tokenizers that drop
-  white space and never join across it (`splits_at_blanks` checks this), and others get whole texts.
+- Documents stand in ascending doc_id order, nulls first, rows of equal doc_id by a hash of their text. Repeated rows are
+  all written, and may stand in several parts.
+- With a tokenizer whose normaliser and splitter are those below, texts are cut at ASCII white space and each distinct
+  piece is encoded once: that splitter drops white space and never joins across it. Any other gets whole texts.
 - An empty table makes no segment and an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 import zlib
@@ -27,17 +30,26 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from impactlens.llm.common import NOT_BLANK, U64, ragged, shared_path, slices, utf8, word_bounds, word_hashes
+from impactlens.llm.common import NOT_BLANK, U64, ragged, remembers, shared_path, slices, tidy, utf8, word_bounds, word_hashes
 
 END = 2
 BLOCK = 1024
-MAGIC = b"S8B1"
+MAGIC, FILE_MAGIC = b"S8B1", b"S8F1"
 #: Fixed values of the format: ids a word and bits an id, by selector; selector 0 is the escape.
 SELECTORS = [(0, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 #: Text bytes that make a segment, and distinct pieces and stems that a worker remembers.
-SEGMENT_BYTES, REMEMBERED, REMEMBERED_STEMS = 1 << 20, 1_000_000, 250_000
+SEGMENT_BYTES, REMEMBERED, REMEMBERED_STEMS = 1 << 20, 500_000, 100_000
 #: ASCII punctuation that ends a piece and is a word of its own there; an apostrophe may begin a contraction.
 MARKS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
+#: The normaliser and the splitter that drop white space, and split letters, digits and other marks.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -151,18 +163,20 @@ def ids_of(data: bytes) -> np.ndarray:
     return unpack(np.frombuffer(data, "<u8", words, 28 + 4 * (blocks + 1)).astype(U64), offsets, n)
 
 
-def splits_at_blanks(tokenizer) -> bool:
-    """Whether the tokenizer drops blanks and encodes the pieces between them as it does alone."""
-    text = "a b  ab\tc\r\nd e\x0bé\x0cf 12 3 x́ ́y 's t"
-    pieces = [i for p in text.encode().split() for i in tokenizer.encode(p.decode(), add_special_tokens=False).ids]
-    return tokenizer.encode(text, add_special_tokens=False).ids == pieces
+def file_segment(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray, start: int) -> bytes:
+    """Header (magic, documents, start, bytes of the counts), which ids are null, doc_ids, counts, ids."""
+    packed_ = segment(counts)
+    header = FILE_MAGIC + np.array([len(doc_ids), start, len(packed_)], "<u8").tobytes()
+    return header + np.array([d is None for d in doc_ids], bool).tobytes() + np.array([d or 0 for d in doc_ids], "<i8").tobytes() + packed_ + segment(ids)
 
 
-def splits_after_letters(tokenizer) -> bool:
-    """Whether letters and the punctuation after them are encoded apart, and the model alone gives ASCII letters' ids."""
-    encode = lambda x: tokenizer.encode(x, add_special_tokens=False).ids
-    model = lambda x: [t.id for t in tokenizer.model.tokenize(x.lower())] if x.isascii() else encode(x)
-    return all(encode(a + b) == model(a) + encode(b) for a in ("a", "Abc", "ÉÑß", "zzqx", "Größe", "слово", "字") for b in (*MARKS, "...", "##@", ",\"", ""))
+def documents_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """doc_ids, which of them are null, counts, ids, start."""
+    if data[:4] != FILE_MAGIC:
+        raise ValueError("no segment of documents")
+    n, start, size = np.frombuffer(data, "<u8", 3, 4).astype(int).tolist()
+    at = 28 + 9 * n
+    return np.frombuffer(data, "<i8", n, 28 + n), np.frombuffer(data, bool, n, 28), ids_of(data[at : at + size]).astype(np.int64), ids_of(data[at + size :]), start
 
 
 def letters_only(text: str) -> bool:
@@ -197,8 +211,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.by_piece = splits_at_blanks(self.tokenizer)
-        self.by_stem = self.by_piece and splits_after_letters(self.tokenizer)
+        config = json.loads(self.tokenizer.to_str())
+        self.by_piece = config["normalizer"] == NORMALIZER and config["pre_tokenizer"] == SPLITTER and config["post_processor"] is None
+        self.by_stem = self.by_piece and config["model"]["type"] == "BPE" and not config["model"].get("dropout")
         self.forget()
         self.stems: dict[str, list[int]] = {}
 
@@ -261,12 +276,13 @@ class Encoder:
         return np.insert(ids, bounds[1:], end), np.diff(bounds) + 1
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-SEGMENTS = "part int, start_in_part long, doc_ids array<long>, counts array<long>, n_ids long, data binary"
+remembers("tokens", encoder.cache_clear)
+SEGMENTS = "part int, n_ids long, data binary"
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, end: int = END) -> None:
@@ -276,20 +292,20 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int = END) -> None:
         part, start, own = TaskContext.get().partitionId(), 0, encoder(tokenizer)
         for batch in slices(batches, most=SEGMENT_BYTES):
             ids, counts = own.encode(batch.column("text"), end)
-            kind = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([start], pa.int64()), pa.array([batch.column("doc_id").to_pylist()], kind), pa.array([counts], kind), pa.array([len(ids)], pa.int64()), pa.array([segment(ids)], pa.binary())],
-                names=["part", "start_in_part", "doc_ids", "counts", "n_ids", "data"],
-            )
+            data = file_segment(batch.column("doc_id").to_pylist(), counts, ids, start)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([data], pa.binary())], names=["part", "n_ids", "data"])
             start += len(ids)
 
     n = max(1, docs.rdd.getNumPartitions())
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(rows, SEGMENTS).write.option("compression", "zstd").parquet(folder)
+    keyed = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"))
+    # Ties are dealt out, too: no id and no repeated row has to fit one partition.
+    ordered = keyed.repartitionByRange(n, "doc_id", "hash", "row").sortWithinPartitions("doc_id", "hash", "row").select("doc_id", "text")
+    ordered.mapInArrow(tidy(rows, "tokens"), SEGMENTS).write.option("compression", "zstd").parquet(folder)
 
 
 def read(spark, folder: str) -> DataFrame:
-    """A row per document: doc_id, start, n_tokens, ids_crc32. Only a sum per partition comes to the driver."""
+    """A row per document: doc_id, start, n_tokens, ids_crc32, all decoded from the segments. Only a sum per partition
+    comes to the driver."""
     segments = spark.read.parquet(folder)
     before, total = {}, 0
     for row in segments.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect():
@@ -297,15 +313,15 @@ def read(spark, folder: str) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                ids = ids_of(batch.column("data")[i].as_py()).astype("<u4")
-                doc_ids, counts = batch.column("doc_ids")[i].values, np.array(batch.column("counts")[i].values)
+            for part, data in zip(batch.column("part"), batch.column("data"), strict=True):
+                doc_ids, none, counts, ids, start = documents_of(data.as_py())
+                ids = ids.astype("<u4")
                 bounds = np.concatenate([[0], np.cumsum(counts)])
                 crcs = [zlib.crc32(ids[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                first = before[batch.column("part")[i].as_py()] + batch.column("start_in_part")[i].as_py()
-                yield pa.RecordBatch.from_arrays([doc_ids, pa.array(first + bounds[:-1]), pa.array(counts), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                first = before[part.as_py()] + start
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, mask=none), pa.array(first + bounds[:-1]), pa.array(counts), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return segments.mapInArrow(rows, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return segments.mapInArrow(tidy(rows, "tokens"), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def default_tokenizer() -> str:
