@@ -65,9 +65,9 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
     return sources.withColumn("target", F.least(F.col("source_size") * float(most), F.col("weight") * each))
 
 
-def chance(doc_id: Column, seed: str) -> Column:
-    """A number in [0, 1) from the id's text: the first 32 bits of an MD5."""
-    key = F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("null")))
+def chance(doc_id: Column, text: Column, seed: str) -> Column:
+    """A number in [0, 1): the first 32 bits of an MD5 of the id, or, without one, of the document's text."""
+    key = F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.concat(F.lit("null:"), F.coalesce(text, F.lit("")))))
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
@@ -76,12 +76,13 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, s
     docs = docs.drop("size", "source_size", "target", "copies", "taken")
     sized = docs.withColumn("size", words_in(F.col("text")))
     goal = targets(stored(sized.select("source", "size"), "mix-sizes"), weights, most)
-    goal = goal.select(F.col("source").alias("_source"), "source_size", "target")
+    key = own_name(sized, "_source")
+    goal = goal.select(F.col("source").alias(key), "source_size", "target")
     # As many rows as sources: small beside the documents, and joined by Spark's own choice of side.
-    out = sized.join(goal, sized["source"].eqNullSafe(goal["_source"]), "left").drop("_source")
+    out = sized.join(goal, sized["source"].eqNullSafe(goal[key]), "left").drop(key)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(rate)
-    copies = whole + F.when(chance(F.col("doc_id"), seed) < rate - whole, 1).otherwise(0)
+    copies = whole + F.when(chance(F.col("doc_id"), F.col("text"), seed) < rate - whole, 1).otherwise(0)
     return out.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("size") * F.col("copies"))
 
 
