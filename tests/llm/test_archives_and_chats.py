@@ -1,7 +1,9 @@
 """WARC archives and chat transcripts on odd rows."""
 
 import base64
+import gzip
 import hashlib
+import zlib
 from collections import Counter
 
 from impactlens.llm import chat, warc
@@ -15,7 +17,7 @@ def sha(text):
 
 def assembled(spark, rows, tmp_path, least=0):
     folder = str(tmp_path / "warc")
-    warc.write(spark.createDataFrame(rows, PAGES), folder, least, each=2)
+    warc.write(spark.createDataFrame(rows, PAGES), folder, least, file_bytes=2000)
     return warc.assemble(warc.read(spark, folder)).collect()
 
 
@@ -78,9 +80,48 @@ def test_viterbi_prefers_what_was_learned():
     assert model.turns("User: q\nw\nBot: e") == [("user", "q\nw"), ("assistant", "e")]
 
 
-def test_archive_of_a_member_per_record(spark, tmp_path):
-    import gzip
-
-    record = lambda i: f"WARC/1.0\r\nWARC-Type: request\r\nWARC-Record-ID: <r{i}>\r\nContent-Length: 100000\r\n\r\n{str(i) * 100_000}\r\n\r\n".encode()
-    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(record(i)) for i in range(5)))
-    assert sorted(r["record_id"] for r in warc.read(spark, str(tmp_path)).collect()) == [f"<r{i}>" for i in range(5)]
+def record(i, body=b"x" * 1000, kind="response", more="", size=None):
+    return f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <r{i}>\r\n{more}Content-Length: {len(body) if size is None else size}\r\n\r\n".encode() + body + b"\r\n\r\n"
+
+
+HTTP = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n"
+
+
+def test_archives_of_others(spark, tmp_path):
+    """A member per record, plain files, padding, blocks without a header, bytes that are no record, records cut short."""
+    whole = b"".join(record(i, bytes([48 + i]) * 100_000, "request") for i in range(5))
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(record(i, bytes([48 + i]) * 100_000, "request")) for i in range(5)))
+    (tmp_path / "b.warc").write_bytes(whole.replace(b"<r", b"<p"))
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(record("c0", b"abcdef")) + b"\0" * 7 + gzip.compress(record("c1", HTTP + b"body") + record("c2", HTTP) + record("c3", b"HTTP/1.1 204 No\r\nA: b")))
+    (tmp_path / "d.warc").write_bytes(b"junk WARC/ no\r\n" + record("d0", b"zz") + record("bad", b"WARC/1.0 inside", size="many") + record("d1", HTTP + b"WARC/1.0\r\n\r\n" + b"y" * 50)[:-20])
+    (tmp_path / "e.warc.gz").write_bytes(gzip.compress(record("e0", b"zz")) + gzip.compress(record("e1"))[:60])
+    (tmp_path / "f.warc").write_bytes(record("f0", b"zz") + b"WARC/1.0\r\nWARC-Type: resp")
+    (tmp_path / "g.warc").write_bytes(b"")
+    (tmp_path / "h.warc").write_bytes(record("h0", HTTP + b"ok", more=f"WARC-Payload-Digest: sha1:{sha('ok')}\r\n") + record("h1", HTTP + b"no", more=f"WARC-Payload-Digest: sha1:{sha('ok')}\r\n"))
+    found = {r["record_id"].strip("<>"): r for r in warc.read(spark, str(tmp_path)).collect()}
+    assert set(found) >= {*(f"{k}{i}" for k in "rp" for i in range(5)), "rc0", "rc1", "rc2", "rc3", "rd0", "rd1", "re0", "rf0", "rh0", "rh1"} and "rf1" not in found and "rbad" not in found
+    payload = lambda i: bytes(found[i]["payload"])
+    assert payload("rc0") == b"abcdef" and payload("rc1") == b"body" and payload("rc2") == b"" and payload("rc3") == b""
+    assert found["rd1"]["whole"] is False and payload("rd1").startswith(b"WARC/1.0\r\n\r\nyyy") and found["rd0"]["whole"]
+    assert found["rh0"]["digest_ok"] and found["rh1"]["digest_ok"] is False and found["rc1"]["digest_ok"] is None
+
+
+def test_a_member_for_each_record_and_files_by_bytes(spark, tmp_path):
+    rows = [(i, f"u{i}", hashlib.sha256(str(i).encode()).hexdigest() * 50, "x", "y") for i in range(40)]
+    warc.write(spark.createDataFrame(rows, PAGES).coalesce(1), str(tmp_path / "w"), file_bytes=4000)
+    files = [p for p in (tmp_path / "w").iterdir() if p.name.startswith("part-")]
+    assert len(files) > 4 and all(p.stat().st_size < 8000 for p in files)
+    for p in files:
+        raw, members = p.read_bytes(), []
+        while raw:
+            part = zlib.decompressobj(31)
+            members.append(part.decompress(raw))
+            raw = part.unused_data
+        assert members[-1] == b"" and all(m.startswith(b"WARC/1.0\r\n") and m.count(b"WARC-Record-ID") == 1 for m in members[:-1])
+        assert gzip.decompress(p.read_bytes()) == b"".join(members)
+
+
+def test_large_pages(spark, tmp_path):
+    rows = [(1, "a", "é" * 3_000_000, "", ""), (2, "b", "é" * 3_000_000, "", ""), (3, "c", "x", "", "")]
+    found = assembled(spark, rows, tmp_path)
+    assert sorted(r["capture"]["type"] for r in found) == ["response", "response", "revisit"] and max(r["capture"]["payload_bytes"] or 0 for r in found) == 6_000_000
