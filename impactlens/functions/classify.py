@@ -7,35 +7,40 @@ from pyspark.sql import functions as F
 
 from impactlens.functions.names import contains_any
 
-# Category, priority, words, and where they are looked for (m: method, c: class, n: namespace, a: assembly).
+# Category, priority, words, and where they are looked for.
 RULES = [
-    ("EndToEnd", 90, "e2e endtoend", "mcn"),
-    ("UI", 85, "ui selenium webdriver browser", "mc"),
-    ("Database", 80, "database db sql entity ef6 efcore repository", "mc"),
-    ("API", 75, "api http rest controller endpoint", "mc"),
-    ("API", 75, "api controllers", "n"),
-    ("Performance", 70, "performance load stress benchmark", "mc"),
-    ("Security", 65, "security auth authorization authentication permission", "mc"),
-    ("Integration", 60, "integration", "mcna"),
-    ("Unit", 55, "nunittestdiscovery testdiscovery", "c"),
-    ("Unit", 50, "service factory analyzer discovery utility helper", "c"),
+    ("EndToEnd", 90, ["e2e", "endtoend"], ["method", "class", "namespace"]),
+    ("UI", 85, ["ui", "selenium", "webdriver", "browser"], ["method", "class"]),
+    ("Database", 80, ["database", "db", "sql", "entity", "ef6", "efcore", "repository"], ["method", "class"]),
+    ("API", 75, ["api", "http", "rest", "controller", "endpoint"], ["method", "class"]),
+    ("API", 75, ["api", "controllers"], ["namespace"]),
+    ("Performance", 70, ["performance", "load", "stress", "benchmark"], ["method", "class"]),
+    ("Security", 65, ["security", "auth", "authorization", "authentication", "permission"], ["method", "class"]),
+    ("Integration", 60, ["integration"], ["method", "class", "namespace", "assembly"]),
+    ("Unit", 55, ["nunittestdiscovery", "testdiscovery"], ["class"]),
+    ("Unit", 50, ["service", "factory", "analyzer", "discovery", "utility", "helper"], ["class"]),
 ]
 # Words of method categories.
 FRAMEWORK = "system. microsoft. nunit. xunit. moq. fluentassertions.".split()
 THIRD_PARTY = "newtonsoft. automapper. serilog. npgsql. entityframework. dapper. polly. mediatr. hangfire. quartz.".split()
 DATA_ACCESS = "repository dbcontext dataaccess dal entity mapper query command".split()
 INFRASTRUCTURE = "factory provider manager helper utility configuration logging logger caching cache".split()
-TEST_NAME = r"(?i)(test|spec|should|when|given|scenario|example|verify|check|ensure|benchmark|calculate).*|(.*)(test|tests|spec|specs)$"
+# Words in the names of tests.
+TEST_WORDS = ["test", "spec", "should", "when", "given", "scenario", "example", "verify", "check", "ensure", "benchmark", "calculate"]
+
+
+def named_like_test(name: Column) -> Column:
+    return contains_any(name, TEST_WORDS)
 
 
 def category(method: Column, class_: Column, namespace: Column, assembly: Column, rules: list = RULES) -> Column:
     """The matching rule of highest priority; Unit if none matches."""
-    where = {"m": method, "c": class_, "n": namespace, "a": assembly}
+    where = {"method": method, "class": class_, "namespace": namespace, "assembly": assembly}
     out = F.lit("Unit")
     for name, _, words, places in sorted(rules, key=lambda r: r[1]):
         hit = F.lit(False)
         for p in places:
-            hit = hit | contains_any(where[p], words.split())
+            hit = hit | contains_any(where[p], words)
         out = F.when(hit, name).otherwise(out)
     return out
 
@@ -56,7 +61,7 @@ def test_type(is_test: Column, path: Column, name: Column, type_: Column) -> Col
 def test_confidence(path: Column, name: Column, type_: Column) -> Column:
     """How likely a method is a test, from its place and names."""
     project, file = in_test_project(path), contains_any(F.regexp_extract(path, r"([^/\\]*)$", 1), ["test", "spec"])
-    named, classed = name.rlike(TEST_NAME), F.lower(type_).rlike("(test|tests|spec|specs)$")
+    named, classed = named_like_test(name), F.lower(type_).rlike("(test|tests|spec|specs)$")
     attributes = (project | file) & (named | classed)
     points = [(attributes, 0.8), (project, 0.3), (file, 0.2), (named, 0.4), (classed, 0.2)]
     return F.least(F.lit(1.0), sum((F.when(c, v).otherwise(0.0) for c, v in points), F.lit(0.0)))

@@ -10,7 +10,10 @@ KEYWORDS = (
     "if else while for foreach do switch case return break continue try catch finally throw using namespace class interface struct enum "
     "var new this base null true false static public private protected internal override virtual abstract sealed readonly const async await"
 ).split()
-METHOD = r"(\w+)(?:<[^>]*>)?\s*\([^)]*\)\s*(?:;|\{|$|=>|where)"
+#: A name with parentheses after it counts if it follows a word (as after its type), or if the line or a statement ends,
+#: or a body begins, behind them.
+DECLARED = r"[\w>\]]\s+(\w+)(?:<[^>]*>)?\s*\([^)]*\)"
+ENDED = r"(\w+)\s*\([^)]*\)(?=\s*(?:$|[{;]))"
 TYPE = r"\b(?:class|interface|struct|enum)\s+(\w+)"
 
 
@@ -27,7 +30,7 @@ def changes(diffs: DataFrame) -> DataFrame:
     body = F.when(changed, F.expr("substring(line, 2)"))
     found = lines.where("file is not null").groupBy("diff_id", F.col("file").alias("file_path")).agg(
         F.when(F.max(added), "Added").when(F.max(deleted), "Deleted").otherwise("Modified").alias("change_type"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.regexp_extract_all(body, F.lit(METHOD), F.lit(1)))))).alias("m"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.concat(*(F.regexp_extract_all(body, F.lit(p), F.lit(1)) for p in (DECLARED, ENDED))))))).alias("m"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.regexp_extract_all(body, F.lit(TYPE), F.lit(1)))))).alias("changed_types"),
     )
     found = found.withColumn("changed_methods", F.filter("m", valid)).drop("m")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from impactlens.functions import names
+from impactlens.operators.containment import containing
 
 
 def coverage_map(coverage: DataFrame) -> DataFrame:
@@ -54,12 +55,17 @@ def recommendations(changes: DataFrame, coverage: DataFrame) -> DataFrame:
 
 def fuzzy_matches(tests: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted (given), test_id, tier: name equal, then class.method, then an ending, then contained; the best tier of
-    each test. `wanted` is a handful of names that a user typed; the join is a nested loop over it."""
+    each test. Every tier but the first implies that the id contains the name, so those come from one containment join,
+    and the first from a join by name."""
     name, given = F.lower(F.col("method_name")), F.lower(F.col("given"))
     tier = (
         F.when(name == names.name_only(given), 1).when(F.endswith(F.lower("test_id"), F.concat_ws(".", names.type_qualifier(given), names.name_only(given))), 2)
         .when(F.endswith(F.lower("test_id"), given), 3).when(F.contains(F.lower("test_id"), names.name_only(given)), 4)
     )
-    found = tests.join(wanted, tier.isNotNull()).withColumn("tier", tier)
+    asked = wanted.select("given", names.name_only(F.lower("given")).alias("short")).distinct()
+    held = containing(asked.select(F.col("short").alias("given")), tests.select("test_id", "method_name", F.lower("test_id").alias("value")))
+    held = held.withColumnRenamed("given", "short").join(asked, "short").select("test_id", "method_name", "given")
+    same = tests.select("test_id", "method_name", F.lower("method_name").alias("short")).join(asked, "short").select("test_id", "method_name", "given")
+    found = held.unionByName(same).distinct().withColumn("tier", tier).where("tier is not null")
     first = Window.partitionBy("given", "test_id").orderBy("tier")
     return found.withColumn("k", F.row_number().over(first)).where("k = 1").select("given", "test_id", "tier")

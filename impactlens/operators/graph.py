@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from impactlens.sources.cut import cut
+from impactlens.sources.cut import Pieces, cut
 
 
 def callees(edges: DataFrame, method: str) -> DataFrame:
@@ -25,23 +25,24 @@ def closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, st
 
     seeds: source, node. stop: nodes (column node) that are reached but not expanded. Each step is one join on the
     frontier only; cycles end because a node that was reached is not reached again. The edges are written once and not
-    derived anew at each step; they aren't partitioned by caller, so that a caller of very many can still be split.
+    derived anew at each step; they aren't partitioned by caller, so that a caller of very many can still be split. What
+    was reached stands in about log(depth) pieces, so a step's tasks don't grow with the depth.
     """
     if max_depth is None or max_depth > 1:
         edges = cut(edges.select("caller", "callee"))
     reached = seeds.select("source", "node", F.lit(0).alias("depth")).distinct()
     frontier, depth = cut(reached), 0
-    done = frontier
+    done = Pieces(frontier)
     while max_depth is None or depth < max_depth:
         depth += 1
         grow = frontier if stop is None else frontier.join(stop.select("node"), "node", "left_anti")
         step = grow.join(edges, grow["node"] == edges["caller"]).select("source", F.col("callee").alias("node")).distinct()
-        step = cut(step.join(done, ["source", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        step = cut(step.join(done.whole(), ["source", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if step.isEmpty():
             break
-        done = done.unionByName(step)
+        done.add(step)
         frontier = step
-    return done
+    return done.whole()
 
 
 def path_confidence(depth: Column) -> Column:
@@ -107,18 +108,18 @@ def levels(edges: DataFrame) -> DataFrame:
     what leads to them."""
     left = cut(edges)
     nodes = edges.select(F.col("caller").alias("node")).union(edges.select(F.col("callee").alias("node"))).distinct()
-    todo, done, level = cut(nodes), None, 0
+    todo, level = cut(nodes), 0
+    done = Pieces(todo.where("false").withColumn("level", F.lit(0)))
     while True:
         free = todo.join(left, todo["node"] == left["caller"], "left_anti").withColumn("level", F.lit(level))
         free = cut(free)
         if free.isEmpty():
             break
-        done = free if done is None else done.unionByName(free)
+        done.add(free)
         todo = cut(todo.join(free, "node", "left_anti"))
         left = cut(left.join(free, left["callee"] == free["node"], "left_anti"))
         level += 1
-    rest = todo.withColumn("level", F.lit(None).cast("int"))
-    return rest if done is None else done.unionByName(rest)
+    return done.whole().unionByName(todo.withColumn("level", F.lit(None).cast("int")))
 
 
 def with_overrides(edges: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from impactlens.functions import names
+from impactlens.operators.containment import containing
 
 
 def among(coverage: DataFrame, tests: DataFrame) -> DataFrame:
@@ -37,8 +38,9 @@ def by_pattern(coverage: DataFrame, patterns: DataFrame) -> DataFrame:
 
 def changed_methods(methods: DataFrame, changed: DataFrame) -> DataFrame:
     """given, method_id: methods whose id is, ends in or contains a changed name, ignoring case."""
-    given = changed.where("given != ''").select("given").distinct()
-    return given.join(methods.select("method_id").distinct(), F.contains(F.lower("method_id"), F.lower("given"))).select("given", "method_id")
+    wanted = changed.select("given", F.lower("given").alias("low")).distinct()
+    found = containing(wanted.select(F.col("low").alias("given")), methods.select("method_id", F.lower("method_id").alias("value")).distinct())
+    return found.select(F.col("given").alias("low"), "method_id").join(wanted, "low").select("given", "method_id")
 
 
 def validated(wanted: DataFrame, tests: DataFrame) -> DataFrame:

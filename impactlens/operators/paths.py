@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from impactlens.functions import names
 from impactlens.operators.graph import closure, path_confidence, subgraph
 from impactlens.operators.similarity import array_jaccard
-from impactlens.sources.cut import cut
+from impactlens.sources.cut import Pieces, cut
 
 OUTSIDE = ("Framework", "ThirdParty")
 #: How sure a path of each kind of test is.
@@ -30,15 +30,15 @@ def call_paths(edges: DataFrame, methods: DataFrame, wanted: DataFrame, most_nod
     ranked = cut(ranked)
     own = lambda r, id_: F.struct(r.alias("rank"), id_.alias("id"))
     frontier = cut(wanted.select("test_id", F.col("test_id").alias("node")).distinct().withColumn("path", F.array(own(F.lit(0), F.col("node")))))
-    done = frontier
+    done = Pieces(frontier)
     for _ in range(most_nodes - 1):
         step = frontier.join(ranked, frontier["node"] == ranked["caller"]).select("test_id", F.col("callee").alias("node"), F.concat("path", F.array(own(F.col("rank"), F.col("callee")))).alias("path"))
-        fresh = step.groupBy("test_id", "node").agg(F.min("path").alias("path")).join(done.select("test_id", "node"), ["test_id", "node"], "left_anti")
+        fresh = step.groupBy("test_id", "node").agg(F.min("path").alias("path")).join(done.whole().select("test_id", "node"), ["test_id", "node"], "left_anti")
         frontier = cut(fresh)
         if frontier.isEmpty():
             break
-        done = done.unionByName(frontier)
-    found = done.join(wanted.select("test_id", F.col("target").alias("node")).distinct(), ["test_id", "node"])
+        done.add(frontier)
+    found = done.whole().join(wanted.select("test_id", F.col("target").alias("node")).distinct(), ["test_id", "node"])
     depth = F.size("path") - 1
     return found.select("test_id", F.col("node").alias("target"), F.transform("path", lambda s: s["id"]).alias("path"), depth.alias("depth"), path_confidence(depth).alias("confidence"))
 

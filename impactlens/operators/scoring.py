@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from impactlens.operators import history
+from impactlens.operators.containment import containing
 
 # Confidence levels.
 LEVELS = {"Fast": (0.70, 30, 50, 0.6), "Medium": (0.85, 300, 200, 0.4), "High": (0.95, 900, 1000, 0.2), "Full": (0.99, 3600, None, 0.0)}
@@ -48,20 +53,25 @@ def baseline_impact() -> Column:
 
 def change_impact(tests: DataFrame, changes: DataFrame) -> DataFrame:
     """tests (test_id, name, category, file_path, dependencies, historical_success) with `impact`, for a change set
-    (file_path, change_type, changed_methods, changed_types). The change set is summed up to one row, joined once."""
+    (file_path, change_type, changed_methods, changed_types). Changed names, types and files are joined by key with what
+    the tests have; only five flags of the whole change set stand in one row."""
     has = lambda col, *words: F.coalesce(F.max(F.exists(col, lambda t: F.greatest(*(t.contains(w) for w in words), F.lit(False)))), F.lit(False))
-    facts = changes.agg(
-        F.array_distinct(F.flatten(F.collect_set(F.transform(F.concat("changed_methods", "changed_types"), F.lower)))).alias("names"),
-        F.array_distinct(F.flatten(F.collect_set(F.transform("changed_types", lambda t: F.lower(F.substring_index(t, ".", -1)))))).alias("types"),
-        F.collect_set(F.lower("file_path")).alias("files"),
+    flags = changes.agg(
         has("changed_types", "Repository", "DbContext", "Entity").alias("db"), has("changed_types", "Controller", "Service").alias("api"),
         F.coalesce(F.max(F.col("file_path").contains("View") | F.col("file_path").contains("Component")), F.lit(False)).alias("ui"),
         F.coalesce(F.max(F.col("file_path").contains("Auth") | F.col("file_path").contains("Security")), F.lit(False)).alias("sec"),
         F.coalesce(F.max(F.col("change_type") == "Configuration"), F.lit(False)).alias("conf"),
     )
-    joined = tests.crossJoin(F.broadcast(facts))  # one row
-    direct = F.size(F.filter("dependencies", lambda d: F.array_contains(F.col("names"), F.lower(d))))
-    named = F.exists("types", lambda t: (F.length(t) > 0) & F.lower("name").contains(t))
+    none = F.array().cast("array<string>")
+    changed = changes.select(F.explode(F.concat(F.coalesce("changed_methods", none), F.coalesce("changed_types", none))).alias("given")).select(F.lower("given").alias("key")).distinct()
+    needs = tests.select("test_id", F.explode("dependencies").alias("d")).select("test_id", F.lower("d").alias("key"))
+    direct_ = needs.join(changed, "key", "left_semi").groupBy("test_id").agg(F.count("*").alias("direct"))
+    types = changes.select(F.explode("changed_types").alias("t")).select(F.lower(F.substring_index("t", ".", -1)).alias("given")).where("given != ''").distinct()
+    named_ = containing(types, tests.select("test_id", F.lower("name").alias("value"))).select("test_id").distinct().withColumn("named", F.lit(True))
+    files = changes.select(F.lower("file_path").alias("file_key")).distinct().withColumn("in_file", F.lit(True))
+    joined = tests.join(direct_, "test_id", "left").join(named_, "test_id", "left").withColumn("file_key", F.lower("file_path")).join(files, "file_key", "left")
+    joined = joined.crossJoin(F.broadcast(flags))  # one row
+    direct, named, in_file = F.coalesce("direct", F.lit(0)), F.coalesce("named", F.lit(False)), F.coalesce("in_file", F.lit(False))
     category = F.col("category")
     table = (
         F.when(category == "Unit", F.when((direct > 0) | named, 0.6).otherwise(0.2)).when(category == "Integration", 0.4).when(category == "Database", F.when(F.col("db"), 0.7).otherwise(0.2))
@@ -71,10 +81,10 @@ def change_impact(tests: DataFrame, changes: DataFrame) -> DataFrame:
     configured = F.when(F.col("conf"), by_category({"Integration": 0.3, "EndToEnd": 0.4, "API": 0.3}, 0.1)).otherwise(0.0)
     total = (
         F.when(direct > 0, F.least(F.lit(0.9), direct * 0.3) + F.when(category == "Unit", 0.1).otherwise(0.0)).otherwise(0.0) + F.when(named, 0.8).otherwise(0.0)
-        + F.when(F.array_contains("files", F.lower("file_path")), 0.5).otherwise(0.0) + table + configured + F.when(F.col("historical_success"), 0.2).otherwise(0.0)
+        + F.when(in_file, 0.5).otherwise(0.0) + table + configured + F.when(F.col("historical_success"), 0.2).otherwise(0.0)
     )
     total = F.when((total < 0.1) & (category == "Integration"), 0.1).otherwise(total)
-    return joined.withColumn("impact", F.least(F.lit(1.0), total)).drop("names", "types", "files", "db", "api", "ui", "sec", "conf")
+    return joined.withColumn("impact", F.least(F.lit(1.0), total)).select(*tests.columns, "impact")
 
 
 def combined(**scores: Column) -> Column:
@@ -83,11 +93,37 @@ def combined(**scores: Column) -> Column:
     return sum((v * WEIGHTS[k] for k, v in scores.items()), F.lit(0.0)) / total
 
 
-def scored(tests: DataFrame, runs: DataFrame, as_of: str, level: str = "Medium") -> DataFrame:
-    """tests with time, history, impact and combined scores."""
+@dataclass
+class Scorers:
+    """Scores by name, each with its weight and a Column made for a level; others can be added or put in their place.
+    A score is at most 1 and at least 0; one that is null counts as 0."""
+
+    held: dict[str, tuple[float, Callable[[str], Column]]] = field(default_factory=dict)
+
+    @staticmethod
+    def standard() -> Scorers:
+        own = Scorers()
+        own.add("impact", WEIGHTS["impact"], lambda level: baseline_impact())
+        own.add("time", WEIGHTS["time"], lambda level: time_score(F.col("avg_ms"), level, history.variability_factor()))
+        own.add("history", WEIGHTS["history"], lambda level: history.score(level))
+        return own
+
+    def add(self, name: str, weight: float, made: Callable[[str], Column]) -> Scorers:
+        self.held[name] = (weight, made)
+        return self
+
+    def score(self, found: DataFrame, level: str = "Medium") -> DataFrame:
+        """found with <name>_score of each and their weighted mean, `score`."""
+        found = found.withColumns({f"{name}_score": made(level) for name, (_, made) in self.held.items()})
+        total = sum(weight for weight, _ in self.held.values()) or 1.0
+        parts = (F.coalesce(history.clamp(F.col(f"{name}_score")), F.lit(0.0)) * weight for name, (weight, _) in self.held.items())
+        return found.withColumn("score", sum(parts, F.lit(0.0)) / total)
+
+
+def scored(tests: DataFrame, runs: DataFrame, as_of: str, level: str = "Medium", scorers: Scorers | None = None) -> DataFrame:
+    """tests with the scores of each scorer (impact, time and history if none are given) and the combined one."""
     found = tests.join(history.summary(runs, as_of), "test_id", "left")
-    found = found.withColumn("time_score", time_score(F.col("avg_ms"), level, history.variability_factor())).withColumn("history_score", history.score(level)).withColumn("impact_score", baseline_impact())
-    return found.withColumn("score", combined(impact=F.col("impact_score"), time=F.col("time_score"), history=F.col("history_score")))
+    return (scorers or Scorers.standard()).score(found, level)
 
 
 def kind(tests: DataFrame) -> Column:
@@ -102,7 +138,7 @@ def select(scored_tests: DataFrame, plan: str, level: str = "Medium", budget_ms:
     """
     _, seconds, count, least = LEVELS[level]
     budget = seconds * 1000.0 if budget_ms is None else budget_ms
-    most = most or count or 1_000_000
+    most = most or count or math.inf
     own = scored_tests.where((F.col("score") >= least) & (F.col("avg_ms") <= budget)).select(plan, "test_id", kind(scored_tests), "score", "avg_ms")
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import DoubleType, StructType
 
 from impactlens.functions import names
+from impactlens.operators.components import connected
 from impactlens.operators.history import clamp
 from impactlens.sources.cut import cut
 
@@ -129,44 +131,56 @@ def average_per_test(pairs: DataFrame, sim: str = "jaccard") -> DataFrame:
 
 
 def single_linkage(pairs: DataFrame, threshold: float = 0.6, sim: str = "jaccard") -> DataFrame:
-    """test_id, cluster (its least test): connected components at the threshold, by passing on least labels, with
-    pointer jumping, until nothing changes."""
-    links = pairs.where(F.col(sim) >= threshold).select("i", "j")
-    both = cut(links.unionByName(links.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct())
-    label = both.groupBy("i").agg(F.least(F.min("j"), F.first("i")).alias("cluster")).withColumnRenamed("i", "test_id")
-    label = cut(label)
-    while True:
-        near = both.join(label, both["j"] == label["test_id"]).groupBy("i").agg(F.min("cluster").alias("near"))
-        next_ = label.join(near, label["test_id"] == near["i"]).select("test_id", F.least("cluster", "near").alias("cluster"))
-        jump = next_.select(F.col("test_id").alias("t"), F.col("cluster").alias("up"))
-        next_ = cut(next_.join(jump, next_["cluster"] == jump["t"], "left").select("test_id", F.least("cluster", F.coalesce("up", "cluster")).alias("cluster")))
-        if next_.join(label, ["test_id", "cluster"], "left_anti").isEmpty():
-            return next_
-        label = next_
+    """test_id, cluster (its least test): connected components at the threshold."""
+    return connected(pairs.where(F.col(sim) >= threshold).select("i", "j")).select(F.col("node").alias("test_id"), F.col("root").alias("cluster"))
 
 
 def linkage(pairs: DataFrame, threshold: float = 0.6, kind: str = "complete", sim: str = "jaccard") -> DataFrame:
-    """test_id, cluster: complete or average linkage. Clusters can't join across components at the threshold, so each
-    component is worked on alone."""
-    component = single_linkage(pairs, threshold, sim)
-    own = pairs.join(component.withColumnRenamed("test_id", "i"), "i").join(component.select(F.col("test_id").alias("j"), F.col("cluster").alias("c")), "j").where("cluster = c")
-
-    def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        value = {frozenset(p): s for *p, s in frame[["i", "j", sim]].itertuples(index=False)}
-        groups = [[t] for t in sorted({*frame["i"], *frame["j"]})]
-
-        def tie(a: list[str], b: list[str]) -> float:
-            found = [value.get(frozenset((x, y)), 0.0) for x in a for y in b]
-            return min(found) if kind == "complete" else sum(found) / len(found)
+    """test_id, cluster (its least test): complete or average linkage of the tests that have a pair at the threshold.
 
-        while len(groups) > 1:
-            best, a, b = max(((tie(groups[a], groups[b]), -a, -b) for a in range(len(groups)) for b in range(a + 1, len(groups))))
-            if best < threshold:
-                break
-            groups[-a] = sorted(groups[-a] + groups.pop(-b))
-        return pd.DataFrame([(t, g[0]) for g in groups for t in g], columns=["test_id", "cluster"])
-
-    return own.groupBy("cluster").applyInPandas(merge, "test_id string, cluster string")
+    In each round every two clusters that are nearest to each other are put together; neither linkage ever brings a third
+    one nearer by that, so this comes to what merging one best pair after the other does. Ties go by id. Only pairs that
+    can still meet are kept: for complete linkage those at the threshold, else those within a component."""
+    component = single_linkage(pairs, threshold, sim)
+    if kind == "complete":
+        own = pairs.where(F.col(sim) >= threshold)
+    else:
+        own = pairs.join(component.withColumnRenamed("test_id", "i"), "i").join(component.select(F.col("test_id").alias("j"), F.col("cluster").alias("c")), "j").where("cluster = c")
+    live = cut(own.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), F.col(sim).cast("double").alias("s")))
+    groups = cut(component.select("test_id", F.col("test_id").alias("cluster")))
+    while True:
+        size = groups.groupBy("cluster").agg(F.count("*").alias("n"))
+        valued = live.join(size.select(F.col("cluster").alias("i"), F.col("n").alias("n_i")), "i").join(size.select(F.col("cluster").alias("j"), F.col("n").alias("n_j")), "j")
+        value = F.col("s") if kind == "complete" else F.col("s") / (F.col("n_i") * F.col("n_j"))
+        near = valued.select("i", "j", value.alias("v")).where(F.col("v") >= threshold)
+        near = near.unionByName(near.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")).groupBy("i").agg(F.min(F.struct((-F.col("v")).alias("v"), "j")).alias("m")).select("i", F.col("m.j").alias("j"))
+        back = near.select(F.col("j").alias("i"), F.col("i").alias("j"))
+        mutual = cut(near.where("i < j").join(back, ["i", "j"], "left_semi"))
+        if mutual.isEmpty():
+            return groups
+        moved = live.join(mutual.select(F.col("j").alias("old_i"), F.col("i").alias("new_i")), F.col("i") == F.col("old_i"), "left").join(mutual.select(F.col("j").alias("old_j"), F.col("i").alias("new_j")), F.col("j") == F.col("old_j"), "left")
+        x, y = F.coalesce("new_i", "i"), F.coalesce("new_j", "j")
+        moved = moved.select(F.least(x, y).alias("i"), F.greatest(x, y).alias("j"), "s").where("i != j")
+        if kind == "complete":  # a pair that isn't there counts as 0: all of those that fall together must be
+            grown = mutual.select(F.col("i").alias("k"), F.lit(2).alias("times"))
+            moved = moved.groupBy("i", "j").agg(F.min("s").alias("s"), F.count("*").alias("have"))
+            moved = moved.join(grown.toDF("i", "times_i"), "i", "left").join(grown.toDF("j", "times_j"), "j", "left")
+            moved = moved.where(F.col("have") == F.coalesce("times_i", F.lit(1)) * F.coalesce("times_j", F.lit(1))).select("i", "j", "s")
+        else:
+            moved = moved.groupBy("i", "j").agg(F.sum("s").alias("s"))
+        live = cut(moved)
+        groups = cut(groups.join(mutual.toDF("into", "cluster"), "cluster", "left").select("test_id", F.coalesce("into", "cluster").alias("cluster")))
+
+
+#: Ways of clustering that can be asked for; all of them come to hierarchical clustering.
+ALGORITHMS = ("Hierarchical", "KMeans", "DBSCAN")
+
+
+def clusters(pairs: DataFrame, threshold: float = 0.6, algorithm: str = "Hierarchical", linked: str = "single", sim: str = "jaccard") -> DataFrame:
+    """test_id, cluster by the options given."""
+    if algorithm not in ALGORITHMS:
+        raise ValueError(f"algorithm must be one of {', '.join(ALGORITHMS)}")
+    return single_linkage(pairs, threshold, sim) if linked == "single" else linkage(pairs, threshold, linked, sim)
 
 
 def intra_similarity(clusters: DataFrame, pairs: DataFrame, sim: str = "jaccard") -> DataFrame:
@@ -177,25 +191,34 @@ def intra_similarity(clusters: DataFrame, pairs: DataFrame, sim: str = "jaccard"
     return clusters.groupBy("cluster").agg(F.count("*").alias("size")).join(total, "cluster", "left").select("cluster", "size", F.when(n < 2, 1.0).otherwise(F.coalesce("s", F.lit(0.0)) / F.greatest(n * (n - 1) / 2, F.lit(1.0))).alias("cohesion"))
 
 
-@F.udf(ArrayType(DoubleType()))
-def _sequence_scores(a: list[str], b: list[str]) -> list[float]:
-    """Normalised longest common subsequence and edit similarity of two sequences."""
-    if not a and not b:
-        return [1.0, 1.0]
-    lcs, edit = [0] * (len(b) + 1), list(range(len(b) + 1))
-    for x in a:
-        l2, e2 = [0], [edit[0] + 1]
-        for k, y in enumerate(b, 1):
-            l2.append(lcs[k - 1] + 1 if x == y else max(lcs[k], l2[-1]))
-            e2.append(min(edit[k] + 1, e2[-1] + 1, edit[k - 1] + (x != y)))
-        lcs, edit = l2, e2
-    most = max(len(a), len(b))
-    return [lcs[-1] / most, 1 - edit[-1] / most]
+@F.pandas_udf(StructType().add("lcs", DoubleType()).add("edit", DoubleType()))
+def _sequence_scores(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """Normalised longest common subsequence and edit similarity of pairs of sequences: one vector step per element of
+    the first one. A running maximum (minimum) carries a row's best over to the places after it."""
+    out = np.ones((len(a), 2))
+    for k, (x, y) in enumerate(zip(a, b, strict=True)):
+        n, most = len(y), max(len(x), len(y))
+        if not most:
+            continue
+        if not len(x) or not n:
+            out[k] = 0
+            continue
+        codes = np.unique(np.concatenate([x, y]).astype(str), return_inverse=True)[1]
+        right, place = codes[len(x) :], np.arange(n + 1)
+        lcs, edit = np.zeros(n + 1, np.int64), place.copy()
+        for code in codes[: len(x)]:
+            same = right == code
+            grown, moved = lcs.copy(), edit + 1
+            grown[1:] = np.maximum(grown[1:], (lcs[:-1] + 1) * same)
+            moved[1:] = np.minimum(moved[1:], edit[:-1] + ~same)
+            lcs, edit = np.maximum.accumulate(grown), np.minimum.accumulate(moved - place) + place
+        out[k] = lcs[-1] / most, 1 - edit[-1] / most
+    return pd.DataFrame(out, columns=["lcs", "edit"])
 
 
 def path_similarity(pairs: DataFrame) -> DataFrame:
     """pairs (i, j, a, b: the two tests' method sequences) with lcs, edit, trigram and sequential similarity."""
-    found = pairs.withColumn("s", _sequence_scores("a", "b")).withColumn("lcs", F.col("s")[0]).withColumn("edit", F.col("s")[1]).drop("s")
+    found = pairs.withColumn("s", _sequence_scores("a", "b")).withColumn("lcs", F.col("s.lcs")).withColumn("edit", F.col("s.edit")).drop("s")
     found = found.withColumn("trigram", array_jaccard(names.grams(F.col("a")), names.grams(F.col("b"))))
     return found.withColumn("sequential", 0.5 * F.col("lcs") + 0.3 * F.col("edit") + 0.2 * F.col("trigram")).withColumn("prefix", names.common_prefix(F.col("a"), F.col("b")))
 

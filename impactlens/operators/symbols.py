@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from impactlens.functions import diff, names
+from impactlens.operators.containment import containing
 
 NAMESPACE = r"\bnamespace\s+([A-Za-z_][\w.]*)"
 METHOD = r"\b(?:public|private|protected|internal|static|async|override|virtual)\s+(?:[\w<>\[\],?.]+\s+)+(\w+)\s*(?:<[^>]*>)?\s*\([^)]*\)\s*(?:\{|=>|where|;)"
@@ -29,22 +30,27 @@ def scoped(files: DataFrame, scope: DataFrame) -> DataFrame:
     return index(files.join(scope, "path", "left_semi"))
 
 
-def _exact_or(index_: DataFrame, wanted: DataFrame, kind: str, near) -> DataFrame:
-    """wanted (given), path: files with the very symbol; for names without any, those with a near symbol. `wanted` is what a
-    user asks for; near matches join it with the distinct symbols, not with the files."""
+def _exact_or(index_: DataFrame, wanted: DataFrame, kind: str, name, either: bool = False) -> DataFrame:
+    """wanted (given), path: files with the very symbol; for names without any, those with a symbol that contains the name
+    (or, either way round, is contained in it). Near matches are looked for among the distinct symbols, not the files."""
     own = index_.where(F.col("kind") == kind).select("symbol", "path")
     exact = wanted.select("given").distinct().join(own, F.col("given") == F.col("symbol"))
     missed = wanted.select("given").distinct().join(own.select(F.col("symbol").alias("given")), "given", "left_anti")
-    close = missed.join(own.select("symbol").distinct(), near(F.col("symbol"), F.col("given"))).join(own, "symbol")
+    short = missed.select("given", name(F.col("given")).alias("name"))
+    symbols = own.select("symbol").distinct()
+    near = containing(short.select(F.col("name").alias("given")), symbols.withColumn("value", F.col("symbol"))).select(F.col("given").alias("name"), "symbol")
+    if either:
+        near = near.unionByName(containing(symbols.select(F.col("symbol").alias("given")), short.select(F.col("name").alias("value"))).select(F.col("value").alias("name"), F.col("given").alias("symbol")))
+    close = short.join(near.distinct(), "name").join(own, "symbol")
     return exact.select("given", "path").unionByName(close.select("given", "path")).distinct()
 
 
 def files_with_method(index_: DataFrame, wanted: DataFrame) -> DataFrame:
-    return _exact_or(index_, wanted, "method", lambda s, g: F.contains(s, names.name_only(g)))
+    return _exact_or(index_, wanted, "method", names.name_only)
 
 
 def files_with_type(index_: DataFrame, wanted: DataFrame) -> DataFrame:
-    return _exact_or(index_, wanted, "type", lambda s, g: F.contains(s, g) | F.contains(g, s))
+    return _exact_or(index_, wanted, "type", lambda g: g, either=True)
 
 
 def files_in_namespace(index_: DataFrame, wanted: DataFrame) -> DataFrame:

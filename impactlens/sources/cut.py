@@ -8,9 +8,35 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of df; it survives the loss of executors."""
+    """A reliable checkpoint of df; it survives the loss of executors. Only a local session, whose executors are the
+    driver, gets a folder of its own if spark.checkpoint.dir is unset."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base or tempfile.mkdtemp(prefix="impactlens-"))
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(base or tempfile.mkdtemp(prefix="impactlens-"))
     return df.checkpoint()
+
+
+class Pieces:
+    """A table that grows piece by piece. Pieces of one rank are put together, as in a binary counter: of k pieces that
+    were added, about log k are read, and a row is written anew about log k times."""
+
+    def __init__(self, first: DataFrame):
+        self.held = [(0, first)]
+
+    def add(self, piece: DataFrame) -> None:
+        rank = 0
+        while self.held and self.held[-1][0] == rank:
+            _, last = self.held.pop()
+            partitions = max(last.rdd.getNumPartitions(), piece.rdd.getNumPartitions())
+            piece, rank = cut(last.unionByName(piece).coalesce(partitions)), rank + 1
+        self.held.append((rank, piece))
+
+    def whole(self) -> DataFrame:
+        out = self.held[0][1]
+        for _, piece in self.held[1:]:
+            out = out.unionByName(piece)
+        return out
