@@ -74,6 +74,11 @@ def method_category(is_test: Column, type_: Column, name: Column) -> Column:
     return F.when(is_test, "TestUtility").when(starts(FRAMEWORK), "Framework").when(starts(THIRD_PARTY), "ThirdParty").when(either(DATA_ACCESS), "DataAccess").when(either(INFRASTRUCTURE), "Infrastructure").otherwise("BusinessLogic")
 
 
+def is_test(flag: Column, path: Column, name: Column) -> Column:
+    """A method that is marked as a test, or is named like one in a test project."""
+    return F.coalesce(flag, F.lit(False)) | (in_test_project(path) & named_like_test(name))
+
+
 def change_type(path: Column) -> Column:
     """A configuration if the file's name has config in it or ends in .json or .xml."""
     return F.when(F.lower(F.regexp_extract(path, r"([^/\\]*)$", 1)).rlike(r"config|\.(json|xml)$"), "Configuration").otherwise("Modified")

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
+from impactlens.operators import symbols
 from impactlens.operators.history import days_before
 
 # Least count of projects, bytes at most, days kept, days unused, minutes between cleanups.
@@ -30,6 +36,94 @@ class Store:
         return newest.where(F.col("v.expires").isNull() | (F.col("v.expires") > now)).select("key", "v.value")
 
 
+    def get_or_make(self, keys: DataFrame, as_of: str, make: Callable[[DataFrame], DataFrame], lifetime_days: int | None = None) -> DataFrame:
+        """key, value for all keys: what is stored, and, for keys without a stored value, what `make` (from key to key and
+        value) gives, which is stored for the next time."""
+        wanted = keys.select("key").distinct()
+        had = self.get(as_of, wanted)
+        made = make(wanted.join(had, "key", "left_anti")).select("key", "value")
+        expires = F.lit(None).cast("timestamp") if lifetime_days is None else F.lit(as_of).cast("timestamp") + F.make_dt_interval(F.lit(lifetime_days))
+        self.put(made.withColumn("created", F.lit(as_of).cast("timestamp")).withColumn("expires", expires))
+        return self.get(as_of, wanted)
+
+
+class GraphStore:
+    """Call graphs of projects in Parquet, each under the fingerprint of the files it was made from."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def put(self, edges: DataFrame, fingerprints: DataFrame) -> None:
+        """edges: project, caller, callee; fingerprints: project, fingerprint."""
+        edges.join(fingerprints, "project").select("project", "fingerprint", "caller", "callee").write.mode("append").parquet(self.path)
+
+    def get(self, fingerprints: DataFrame) -> DataFrame:
+        """project, caller, callee of the projects whose files still have the fingerprint they had."""
+        return usable(self.spark.read.parquet(self.path), fingerprints.select("project", "fingerprint")).select("project", "caller", "callee").distinct()
+
+    def stale(self, fingerprints: DataFrame) -> DataFrame:
+        """project of stored graphs that must be made anew."""
+        held = self.spark.read.parquet(self.path).select("project", "fingerprint").distinct()
+        return held.join(fingerprints.select("project", "fingerprint"), ["project", "fingerprint"], "left_anti").select("project").distinct()
+
+
+class IndexStore:
+    """Symbols of files in Parquet under the hash of their content, so that only contents that are new are read again."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def warm(self, files: DataFrame) -> DataFrame:
+        """Indexes the contents (path, content) that aren't held; sha256 of those that were."""
+        hashed = files.select(F.sha2(F.coalesce("content", F.lit("")), 256).alias("sha256"), "content").dropDuplicates(["sha256"])
+        held = self._held()
+        new = hashed if held is None else hashed.join(held.select("sha256").distinct(), "sha256", "left_anti")
+        found = symbols.index(new.select(F.col("sha256").alias("path"), "content")).select(F.col("path").alias("sha256"), "kind", "symbol")
+        none = new.select("sha256", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("symbol"))
+        found.unionByName(none).write.mode("append").parquet(self.path)
+        return new.select("sha256")
+
+    def _held(self) -> DataFrame | None:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        there = folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder)
+        return self.spark.read.schema("sha256 string, kind string, symbol string").parquet(self.path) if there else None
+
+    def get(self, files: DataFrame) -> DataFrame:
+        """kind, symbol, path of files whose contents are held."""
+        own = files.select("path", F.sha2(F.coalesce("content", F.lit("")), 256).alias("sha256"))
+        held = self._held()
+        return own.join(held.where("kind is not null"), "sha256").select("kind", "symbol", "path").distinct()
+
+
+def capacity(entries: DataFrame, as_of: str, limit_bytes: int, incoming_bytes: int, free_bytes: int | None = None) -> DataFrame:
+    """One row: bytes held, bytes that a cleanup would leave, whether one is needed, and whether so much more may be stored.
+
+    entries: bytes, created, accessed; free_bytes: the room on the disk, which must do in any case."""
+    gone = (days_before(as_of, F.col("created")) > 30) | (days_before(as_of, F.col("accessed")) > 7)
+    found = entries.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.coalesce(F.sum(F.when(~gone, F.col("bytes"))), F.lit(0)).alias("fresh"))
+    left = F.least(F.col("fresh"), F.lit(int(limit_bytes * 0.7)))
+    over = F.col("bytes") + incoming_bytes > limit_bytes
+    room = F.lit(True) if free_bytes is None else F.lit(free_bytes >= incoming_bytes)
+    return found.select("bytes", left.cast("long").alias("after_cleanup"), over.alias("needs_cleanup"), (room & (~over | (left + incoming_bytes <= limit_bytes))).alias("allowed"))
+
+
+def saving_of(text: str, sample: int = 1024) -> float:
+    """What compressing a text would save, as a share: of all of a short one, else the mean of three samples."""
+    data = text or ""
+    if not data:
+        return 0.0
+    size = min(sample, len(data) // 10)
+    parts = [data] if len(data) < sample else [data[:size], data[len(data) // 2 : len(data) // 2 + size], data[-size:]]
+    saved = [1 - len(zlib.compress(p.encode(), 6)) / len(p.encode()) for p in parts]
+    return sum(saved) / len(saved)
+
+
+@F.pandas_udf(DoubleType())
+def estimated_saving(texts: pd.Series) -> pd.Series:
+    """`saving_of` of a column, in Arrow batches."""
+    return texts.map(saving_of)
+
+
 def storage_statistics(entries: DataFrame, as_of: str, limit_bytes: int, days_kept: int = 30, days_unused: int = 7) -> DataFrame:
     """One row on entries (bytes, created, accessed): counts and bytes of all, expired and unused ones; whether the limit is
     near (80 %) and whether a cleanup is due (anything expired, over 10 unused, or near the limit)."""

@@ -60,6 +60,12 @@ def tests_exercising(edges: DataFrame, targets: DataFrame, tests: DataFrame, max
     return found.select(F.col("source").alias("target"), F.col("node").alias("test_id"), "depth", path_confidence(F.col("depth")).alias("confidence"))
 
 
+def by_confidence(found: DataFrame) -> DataFrame:
+    """target, test_id, depth, confidence with the place of each test among those of its target, surest first."""
+    order = Window.partitionBy("target").orderBy(F.desc("confidence"), "depth", "test_id")
+    return found.withColumn("place", F.row_number().over(order))
+
+
 def dependents(edges: DataFrame, seeds: DataFrame, include_seeds: bool = False) -> DataFrame:
     """method_id, depth: everything that a change of the seeds (method_id) affects."""
     one = closure(reversed_edges(edges), seeds.select(F.lit("all").alias("source"), F.col("method_id").alias("node")))

@@ -169,3 +169,32 @@ def trace_breakdown(trace: DataFrame) -> DataFrame:
 
 def is_production(is_test: Column, path: Column, category: Column) -> Column:
     return ~is_test & ~F.lower(path).rlike("test") & ~category.isin(*OUTSIDE)
+
+
+def execution_report(traces: DataFrame, methods: DataFrame) -> DataFrame:
+    """One row: traced tests, production methods (method_id, is_test), those that a trace (test_id, method_id, depth) holds
+    and those that none does, percentage, average and greatest depth."""
+    own = methods.where(~F.col("is_test")).select("method_id").distinct()
+    held = traces.join(own, "method_id", "left_semi")
+    some = held.agg(F.count_distinct("method_id").alias("covered"))
+    every = traces.agg(F.count_distinct("test_id").alias("tests"), F.coalesce(F.avg("depth"), F.lit(0.0)).alias("avg_depth"), F.coalesce(F.max("depth"), F.lit(0)).alias("max_depth"))
+    total = own.agg(F.count("*").alias("methods"))
+    both = total.crossJoin(some).crossJoin(every)  # one row each
+    return both.select("tests", "methods", "covered", (F.col("methods") - F.col("covered")).alias("uncovered"), F.coalesce(100.0 * F.try_divide("covered", "methods"), F.lit(0.0)).alias("percentage"), "avg_depth", "max_depth")
+
+
+def not_executed(traces: DataFrame, methods: DataFrame) -> DataFrame:
+    """method_id of production methods that no trace holds."""
+    return methods.where(~F.col("is_test")).select("method_id").distinct().join(traces.select("method_id").distinct(), "method_id", "left_anti")
+
+
+def path_record(structural: DataFrame, sequential: DataFrame) -> DataFrame:
+    """i, j, structural, sequential, path_sim (their mean) of pairs that have both."""
+    both = structural.select("i", "j", "structural").join(sequential.select("i", "j", "sequential"), ["i", "j"])
+    return both.withColumn("path_sim", (F.col("structural") + F.col("sequential")) / 2)
+
+
+def depth_changes(trace: DataFrame) -> DataFrame:
+    """test_id, seq, method_id, change: calls whose depth is more than one away from that of the call before."""
+    before = F.lag("call_depth").over(Window.partitionBy("test_id").orderBy("seq"))
+    return trace.withColumn("change", F.col("call_depth") - before).where(F.abs("change") > 1).select("test_id", "seq", "method_id", "change")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from impactlens.operators import history
@@ -15,6 +15,13 @@ from impactlens.operators.containment import containing
 
 # Confidence levels.
 LEVELS = {"Fast": (0.70, 30, 50, 0.6), "Medium": (0.85, 300, 200, 0.4), "High": (0.95, 900, 1000, 0.2), "Full": (0.99, 3600, None, 0.0)}
+
+
+def levels(spark: SparkSession) -> DataFrame:
+    """level, confidence, seconds, most, least: the levels as a table of four rows."""
+    return spark.createDataFrame([(k, *v) for k, v in LEVELS.items()], "level string, confidence double, seconds int, most int, least double")
+
+
 WEIGHTS = {"impact": 0.4, "time": 0.3, "history": 0.3}
 BASELINE = {"Unit": 0.3, "Integration": 0.6, "Database": 0.4, "API": 0.7, "UI": 0.5, "EndToEnd": 0.8, "Performance": 0.3, "Security": 0.9}
 
@@ -116,7 +123,7 @@ class Scorers:
         """found with <name>_score of each and their weighted mean, `score`."""
         found = found.withColumns({f"{name}_score": made(level) for name, (_, made) in self.held.items()})
         total = sum(weight for weight, _ in self.held.values()) or 1.0
-        parts = (F.coalesce(history.clamp(F.col(f"{name}_score")), F.lit(0.0)) * weight for name, (weight, _) in self.held.items())
+        parts = (F.when(F.col(f"{name}_score").isNull(), 0.0).otherwise(history.clamp(F.col(f"{name}_score"))) * weight for name, (weight, _) in self.held.items())
         return found.withColumn("score", sum(parts, F.lit(0.0)) / total)
 
 
@@ -196,6 +203,23 @@ def compatible_groups(rows: list[dict]) -> list[list[dict]]:
     return groups
 
 
+def compatible(selected: DataFrame, plan: str) -> DataFrame:
+    """plan, test_id, head: the group of each test, by the first test of it, within a plan (test_id, category, score, avg_ms)."""
+
+    def fold(frame: pd.DataFrame) -> pd.DataFrame:
+        rows = frame.sort_values(["score", "test_id"], ascending=[False, True]).to_dict("records")
+        return pd.DataFrame([(r[plan], r["test_id"], g[0]["test_id"]) for g in compatible_groups(rows) for r in g], columns=[plan, "test_id", "head"])
+
+    kinds = dict(selected.dtypes)
+    own = selected.select(plan, "test_id", kind(selected), "score", "avg_ms", *(["dependencies"] if "dependencies" in kinds else []))
+    return own.groupBy(plan).applyInPandas(fold, f"{plan} {kinds[plan]}, test_id string, head string")
+
+
+def can_run_beside(kind_a: Column, kind_b: Column, needs_a: Column, needs_b: Column) -> Column:
+    """Neither is of a kind that runs alone, and they have no dependency in common."""
+    return ~kind_a.isin(*ALONE) & ~kind_b.isin(*ALONE) & ~F.coalesce(F.arrays_overlap(needs_a, needs_b), F.lit(False))
+
+
 def plan_time(batched: DataFrame, plan: str) -> DataFrame:
     """plan, ms: batches one after the other, each as long as its longest test."""
     return batched.groupBy(plan, "batch").agg(F.max("avg_ms").alias("ms")).groupBy(plan).agg(F.sum("ms").alias("ms"), F.count("*").alias("batches"))

@@ -260,6 +260,31 @@ def above(pairs: DataFrame, threshold: float, sim: str = "jaccard") -> DataFrame
     return pairs.where(F.col(sim) >= threshold)
 
 
+def cut_off(pairs: DataFrame, threshold: float, sim: str = "jaccard") -> DataFrame:
+    """All pairs, with 0 below the threshold."""
+    return pairs.withColumn(sim, F.when(F.col(sim) >= threshold, F.col(sim)).otherwise(0.0))
+
+
+def best_pair(pairs: DataFrame, sim: str = "jaccard") -> DataFrame:
+    """The most similar pair; of several the first by id."""
+    return pairs.orderBy(F.desc(sim), "i", "j").limit(1)
+
+
+def ordered(recommended: DataFrame, least: float = 0.0) -> DataFrame:
+    """Recommendations of at least this confidence with their place, surest first. Ranges of confidence are sorted apart and
+    offset by how many come before, of which a count per partition comes to the driver."""
+    own = recommended.where(F.col("confidence") >= least)
+    parts = cut(own.repartitionByRange(F.desc("confidence"), "i", "j").sortWithinPartitions(F.desc("confidence"), "i", "j").withColumn("part", F.spark_partition_id()))
+    before, first = {}, 0
+    for row in parts.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect():
+        before[row["part"]], first = first, first + row["n"]
+    if not before:
+        return parts.withColumn("place", F.lit(0).cast("long")).drop("part")
+    offset = F.create_map(*(F.lit(x) for pair in before.items() for x in pair))[F.col("part")]
+    rank = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("confidence"), "i", "j"))
+    return parts.withColumn("place", (offset + rank).cast("long")).drop("part")
+
+
 def primary(recommended: DataFrame) -> DataFrame:
     """The surest recommendation of each pair (i, j, kind, confidence)."""
     first = Window.partitionBy("i", "j").orderBy(F.desc("confidence"), "kind")

@@ -130,15 +130,17 @@ def _(t):
 
 
 @query("p22_coverage_recommendations", sql("coverage") + f""", {CHANGES_SQL},
-best AS (SELECT change_id, changes.method_id, max(CASE WHEN hash_free THEN 0.4 ELSE 0.8 END) AS confidence, min(CASE WHEN hash_free THEN 5 ELSE 2 END) AS depth, count(test_id) AS n
-  FROM changes LEFT JOIN (SELECT *, substr(test_id, -1) = '7' AS hash_free FROM coverage) c USING (method_id) GROUP BY 1, 2)
+held AS (SELECT * FROM coverage WHERE substr(method_id, 2)::BIGINT % 7 > 0 AND (substr(method_id, 2)::BIGINT % 3 > 0 OR substr(test_id, -1) = '7')),
+best AS (SELECT change_id, changes.method_id, max(CASE WHEN far THEN 0.4 ELSE 0.8 END) AS confidence, min(CASE WHEN far THEN 5 ELSE 2 END) AS depth, count(test_id) AS n
+  FROM changes LEFT JOIN (SELECT *, substr(test_id, -1) = '7' AS far FROM held) c USING (method_id) GROUP BY 1, 2)
 SELECT change_id, 'High' AS priority, 'MissingTests' AS kind, count(*) AS affected FROM best WHERE n = 0 GROUP BY 1
 UNION ALL SELECT change_id, 'Medium', 'LowConfidence', count(*) FROM best WHERE n > 0 AND confidence < 0.6 GROUP BY 1
 UNION ALL SELECT change_id, 'Low', 'IndirectCoverage', count(*) FROM best WHERE n > 0 AND depth > 3 GROUP BY 1""")
 def _(t):
-    far = F.col("test_id").endswith("7")
-    depth = F.when(far, 5).otherwise(2)
-    return coverage.recommendations(change_sets(t), t.coverage().withColumn("depth", depth).withColumn("confidence", F.when(far, 0.4).otherwise(0.8)))
+    """Some parts are covered by no test, and some only by tests that are far from them."""
+    far, key = F.col("test_id").endswith("7"), F.substring("method_id", 2, 20).cast("long")
+    some = t.coverage().where((key % 7 > 0) & ((key % 3 > 0) | far))
+    return coverage.recommendations(change_sets(t), some.withColumn("depth", F.when(far, 5).otherwise(2)).withColumn("confidence", F.when(far, 0.4).otherwise(0.8)))
 
 
 @query("e5_confidence_histogram", sql("coverage") + """ SELECT count(*) FILTER (c >= 0.8) AS high, count(*) FILTER (c >= 0.5 AND c < 0.8) AS medium, count(*) FILTER (c < 0.5) AS low, round(avg(c), 6) AS average

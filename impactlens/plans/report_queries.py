@@ -29,10 +29,10 @@ def _(t):
     return rounded(scoring.plan_time(scoring.batches(plan(t), "plan"), "plan"), "ms")
 
 
-@query("e15_plan_metrics", sql("tests") + """, c AS (SELECT nation AS plan, category, count(*) AS n, sum(avg_ms) AS ms, sum(avg_ms / 10000) AS score FROM tests GROUP BY ALL)
+@query("e15_plan_metrics", sql("tests") + """, c AS (SELECT nation AS plan, category, count(*) AS n, sum(avg_ms) AS ms, sum(floor(avg_ms) / 8192) AS score FROM tests GROUP BY ALL)
 SELECT plan, sum(n)::BIGINT AS tests, round(sum(ms), 6) AS total_ms, round(sum(score) / sum(n), 6) AS mean_score, string_agg(category || '=' || n, ',' ORDER BY category) AS categories FROM c GROUP BY plan""")
 def _(t):
-    made = scoring.plan_metrics(t.tests().select(F.replace(F.col("tags")[1], F.lit("nation"), F.lit("")).cast("int").alias("plan"), "category", "avg_ms", (F.col("avg_ms") / 10_000).alias("score")), "plan")
+    made = scoring.plan_metrics(t.tests().select(F.replace(F.col("tags")[1], F.lit("nation"), F.lit("")).cast("int").alias("plan"), "category", "avg_ms", (F.floor("avg_ms") / 8192).alias("score")), "plan")
     listed = F.array_join(F.transform(F.array_sort(F.map_entries("categories")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
     return rounded(made.withColumn("categories", listed), "total_ms", "mean_score")
 

@@ -199,3 +199,21 @@ def filter_summary(explained_: DataFrame) -> DataFrame:
 def framework_version(*candidates: Column) -> Column:
     """The first candidate (metadata, references, path) that says anything; Unknown if none does."""
     return F.coalesce(*(F.nullif(F.trim(c), F.lit("")) for c in candidates), F.lit("Unknown"))
+
+
+#: Which kind of loader takes a framework, by how its name begins.
+LOADERS = [("netstandard", "Standard"), ("netcoreapp", "NetCore"), ("net4", "Framework48"), ("net", "Net5Plus")]
+
+
+def loads(assemblies: DataFrame) -> DataFrame:
+    """path, framework, loader, error for each assembly once (path, exists, and what speaks of its framework: metadata,
+    references, path), or why it can't be loaded."""
+    by_path = F.regexp_extract(F.lower("path"), r"[/\\](net(?:standard|coreapp)?[0-9][0-9.]*)[/\\]", 1)
+    framework = framework_version(F.lower("metadata"), F.lower("references"), by_path)
+    loader = F.lit(None).cast("string")
+    for begins, kind in reversed(LOADERS):
+        loader = F.when(F.col("framework").startswith(begins), kind).otherwise(loader)
+    none = F.coalesce(F.trim("path"), F.lit("")) == ""
+    found = assemblies.dropDuplicates(["path"]).withColumn("framework", framework).withColumn("loader", loader)
+    error = F.when(none, "no path").when(~F.col("exists"), F.concat(F.lit("not found: "), "path")).when(F.col("loader").isNull(), F.concat(F.lit("no loader for "), "framework"))
+    return found.select("path", "framework", F.when(error.isNull(), F.col("loader")).alias("loader"), error.alias("error"))
