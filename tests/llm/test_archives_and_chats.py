@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import random
 import zlib
 from collections import Counter
 
@@ -69,12 +70,64 @@ def test_odd_conversations(spark):
     table = spark.createDataFrame(rows, CHATS)
     raw = chat.transcripts(table)
     found = chat.parse(raw, chat.fit(raw)).collect()
-    assert len(found) == 6 == raw.count()
+    assert len(found) == 6 == raw.count()  # the repeated row is a turn of its own
     assert all(r["rendered"] == chat.render([(t["role"], t["text"]) for t in r["turns"]]) for r in found)
     assert chat.parse(chat.transcripts(table.limit(0)), chat.fit(raw)).count() == 0
     assert chat.fit(chat.transcripts(table.limit(0))).turns("User: a") != []
 
 
+def learned():
+    lines = ["User: a", "b.", "Bot: c", "User: d", "more", "Bot: e?"]
+    return chat.Model([(lines, [("user", True), ("user", False), ("assistant", True), ("user", True), ("user", False), ("assistant", True)])] * 4)
+
+
+def best_states(model, lines):
+    """Of all sequences of states, the one of greatest score."""
+    from itertools import product
+
+    scores = model.scores(chat.observed(lines))
+    total = lambda p: model.start[p[0]] + sum(scores[i, x] for i, x in enumerate(p)) + sum(model.move[a, b] for a, b in zip(p, p[1:]))
+    return max(total(p) for p in product(range(len(model.states)), repeat=len(lines))), total
+
+
+def test_viterbi_against_all_paths():
+    model, rng = learned(), random.Random(2)
+    words = ["User: x", "Bot: y.", "plain", "", "More text?", "[user] z"]
+    for _ in range(30):
+        lines = [rng.choice(words) for _ in range(rng.randrange(1, 6))]
+        best, total = best_states(model, lines)
+        found = model.decode(lines)
+        assert abs(total([model.states.index(s) for s in found]) - best) < 1e-9
+
+
+def test_segments_are_decoded_as_one(spark, monkeypatch):
+    """A long conversation gives the same turns however it is cut, also where matrices meet on several levels."""
+    rng = random.Random(3)
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", rng.choice(["Yes.", "one\ntwo", "Well:", "", "no end", "User: quoted"])) for c in (0, 6) for t in range(40)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    model = chat.fit(chat.transcripts(table))
+    whole = {r["conv_id"]: r for r in chat.transcripts(table).collect()}
+    want = {c: model.decode(r["transcript"].split("\n")) for c, r in whole.items()}
+    score = lambda lines, states: sum(model.scores(chat.observed(lines))[i, model.states.index(s)] for i, s in enumerate(states)) + model.start[model.states.index(states[0])] + sum(model.move[model.states.index(a), model.states.index(b)] for a, b in zip(states, states[1:]))
+    for segment, each in ((7, 256), (3, 2)):
+        monkeypatch.setattr(chat, "SEGMENT", segment)
+        found = {}
+        for r in sorted(chat.parse(chat.transcripts(table), model, each).collect(), key=lambda r: r["segment"]):
+            found.setdefault(r["conv_id"], []).append(r)
+        for c, parts in found.items():
+            assert len(parts) == -(-40 // segment)
+            lines = whole[c]["transcript"].split("\n")
+            states = []
+            for part in parts:
+                for k, turn in enumerate(part["turns"]):
+                    many = turn["text"].count("\n") + 1
+                    states.append((turn["role"], not (k == 0 and part["continues"])))
+                    states += [(turn["role"], False)] * (many - 1)
+            if len(states) == len(lines):  # no turn whose marker stands on a line of its own
+                assert abs(score(lines, states) - score(lines, want[c])) < 1e-9
+            assert [t["role"] for p in parts for k, t in enumerate(p["turns"]) if not (k == 0 and p["continues"])] == [s[0] for s in want[c] if s[1]]
+
+
 def test_viterbi_prefers_what_was_learned():
     model = chat.Model([(["User: a", "b", "Bot: c", "User: d"], [("user", True), ("user", False), ("assistant", True), ("user", True)])] * 5)
     assert model.turns("User: q\nw\nBot: e") == [("user", "q\nw"), ("assistant", "e")]
