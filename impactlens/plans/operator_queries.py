@@ -10,7 +10,7 @@ from impactlens.commands import Workspace
 from impactlens.functions import attributes, classify, names, seeding
 from impactlens.operators import artefacts, changes, conflict, coverage, lookups, paths, scoring, similarity
 from impactlens.plans.code_queries import files
-from impactlens.plans.queries import CONFLICTS, HISTORY, META, OVERLAP, SCORED, SMALL_PARTS, small_parts
+from impactlens.plans.queries import BASE_TIME, CONFLICTS, FACTOR, HISTORY, META, OVERLAP, SCORED, SMALL_PARTS, small_parts
 from impactlens.plans.registry import ORACLE_SQL, query, rounded
 from impactlens.plans.report_queries import entries, pairs
 from impactlens.sources import projects, sinks
@@ -670,7 +670,36 @@ def _(t):
 
 # SQL of queries that are registered elsewhere.
 
+
+def by_level(time: str, flaky: float) -> str:
+    """Scores as above at another level: its time score, and what is left of a flaky test's history."""
+    medium = f"{BASE_TIME} * CASE WHEN avg_ms > 5000 THEN 0.6::DOUBLE ELSE 1 END * {FACTOR}"
+    assert medium in SCORED
+    return SCORED.replace(medium, time).replace("CASE WHEN flaky THEN 0.6::DOUBLE", f"CASE WHEN flaky THEN {flaky}::DOUBLE")
+
+
+def turn(name: str, candidates: str, quota: int, used: str, n: str) -> str:
+    """One of the turns of the fast selection: its own candidates by score, up to a quota, with the time and places left."""
+    fits = f"own < {quota} AND n < 50 AND used + avg_ms <= 100000"
+    return f"""{name}_c AS (SELECT *, row_number() OVER (ORDER BY score DESC, test_id) AS k FROM {candidates}),
+{name}_p AS (SELECT 0::BIGINT AS k, {used} AS used, {n} AS n, 0::BIGINT AS own, false AS taken
+UNION ALL SELECT c.k, CASE WHEN {fits} THEN used + avg_ms ELSE used END, CASE WHEN {fits} THEN n + 1 ELSE n END, CASE WHEN {fits} THEN own + 1 ELSE own END, {fits} FROM {name}_p JOIN {name}_c c ON c.k = {name}_p.k + 1),
+{name} AS (SELECT c.*, p.n AS place FROM {name}_c c JOIN {name}_p p USING (k) WHERE taken),
+{name}_end AS (SELECT used, n FROM {name}_p ORDER BY k DESC LIMIT 1)"""
+
+
+FAST = f"""{HISTORY}, {by_level(f"least(1::DOUBLE, {BASE_TIME} * CASE WHEN avg_ms > 500 THEN 0.3::DOUBLE ELSE 1.2 END * {FACTOR})", 0.3)},
+final AS (SELECT *, (0.4 * impact_score + 0.3 * time_score + 0.3 * history_score) / 1.0 AS score FROM scored WHERE avg_ms <= 100000)"""
+FAST_SELECTION = recursive(sql("tests", "runs")) + f""", {FAST}, {turn("one", "(SELECT * FROM final WHERE category = 'Unit' AND score >= 0.5)", 40, "0::DOUBLE", "0::BIGINT")},
+{turn("two", "(SELECT * FROM final WHERE category = 'Integration' AND score >= 0.4)", 10, "(SELECT used FROM one_end)", "(SELECT n FROM one_end)")},
+{turn("rest", "(SELECT * FROM final WHERE score >= 0.4 AND test_id NOT IN (SELECT test_id FROM one UNION SELECT test_id FROM two))", 50, "(SELECT used FROM two_end)", "(SELECT n FROM two_end)")}
+SELECT 'all' AS plan, test_id, category, round(score, 6) AS score, avg_ms, place FROM (SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT * FROM rest)"""
+HIGH_SELECTION = recursive(sql("tests", "runs")) + f""", {HISTORY}, {by_level(f"{BASE_TIME} * {FACTOR}", 0.8)}, final AS (SELECT *, 'plan' AS plan, (0.4 * impact_score + 0.3 * time_score + 0.3 * history_score) / 1.0 AS score FROM scored WHERE category <> 'Database'),
+{chosen('plan', 0.2, 100, 200000)} SELECT test_id, category, round(score, 6) AS score, avg_ms, place FROM picked"""
+
 ORACLE_SQL.update({
+    "p12_fast_selection": FAST_SELECTION,
+    "a20_select": HIGH_SELECTION,
     "p11_selection": SELECTION,
     "p14_batches": BATCHES,
     "p17_plan_time": PLAN_TIME,

@@ -82,7 +82,7 @@ class Tables:
         """i, j, k, p: each customer with the next one, and a number in [0, 1]."""
         k = F.col("c_custkey")
         name = lambda x: F.concat(F.lit("C"), x.cast("string"))
-        return self.raw("customer").select(name(k).alias("i"), name(k + 1).alias("j"), k.alias("k"), (k % 64 / 64.0).alias("p"))
+        return self.raw("customer").select(name(k).alias("i"), name(k + 1).alias("j"), k.alias("k"), (k % 67 / 67.0).alias("p"))
 
     def snapshots(self) -> tuple[DataFrame, DataFrame]:
         """Two states of a tree of files: in the second, some are gone, some are new and some have changed."""
@@ -112,7 +112,7 @@ SQL = {
     "data_deps": """SELECT DISTINCT 'O' || l_orderkey AS test_id, 'S' || l_suppkey || '/P' || l_partkey AS resource_id,
         CASE WHEN l_returnflag = 'R' THEN 'Write' WHEN l_linestatus = 'O' THEN 'ReadWrite' ELSE 'Read' END AS access, 'P' || l_partkey AS entity
         FROM lineitem""",
-    "customer_pairs": "SELECT 'C' || c_custkey AS i, 'C' || (c_custkey + 1) AS j, c_custkey AS k, (c_custkey % 64) / 64.0::DOUBLE AS p FROM customer",
+    "customer_pairs": "SELECT 'C' || c_custkey AS i, 'C' || (c_custkey + 1) AS j, c_custkey AS k, (c_custkey % 67) / 67.0::DOUBLE AS p FROM customer",
     "traces": """SELECT 'O' || l_orderkey AS test_id, l_linenumber AS seq, 'S' || (min(l_suppkey) % 5) AS method_id, (min(l_quantity) % 5)::INT AS call_depth,
         CASE WHEN min(l_returnflag) = 'R' THEN 'Framework' ELSE 'BusinessLogic' END AS category, min(l_returnflag) <> 'R' AS is_production
         FROM lineitem GROUP BY l_orderkey, l_linenumber""",
