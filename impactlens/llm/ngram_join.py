@@ -225,17 +225,15 @@ def meetings(rows: DataFrame) -> DataFrame:
 
 
 def candidates(docs: DataFrame, rule: Rule) -> DataFrame:
-    """Distinct pairs (a, b) of classes and the least class that shares one of the parts which are not left out; n: how
-    many classes share that part, or the most shared one of several."""
+    """Distinct pairs (a, b) of classes and the least class that shares one of the parts which are not left out."""
     met = stored(meetings(parts(docs, rule)), "join-parts")
     # A class has at most so many parts as a text has words in each band, so these windows are small.
     rank = F.row_number().over(Window.partitionBy("class", "band").orderBy(F.desc("size"), "part"))
     kept = met.withColumn("rank", rank).where(F.col("rank") > F.col("band").bitwiseAND((1 << ROOM_BITS) - 1))
     kept = stored(kept.select("part", "class"), "join-kept")
     discard(met)
-    pivots = kept.groupBy("part").agg(F.min("class").alias("a"), F.max("class").alias("top"), F.count("*").alias("n")).where("a != top").select("part", "a", "n")
-    pairs = kept.join(pivots, "part").where("a != class").groupBy("a", F.col("class").alias("b")).agg(F.max("n").alias("n"))
-    pairs = stored(pairs, "join-pairs")
+    pivots = kept.groupBy("part").agg(F.min("class").alias("a"), F.max("class").alias("top")).where("a != top").select("part", "a")
+    pairs = stored(kept.join(pivots, "part").where("a != class").select("a", F.col("class").alias("b")).distinct(), "join-pairs")
     discard(kept)
     return pairs
 
@@ -329,11 +327,15 @@ def sets_of(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
 
 
 def tried(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """Those of the pairs (a, b, n) that link: of each a's partners a prefix tree is made, and probed with a. Pairs are
-    dealt into units of about BLOCK by a and, where a meets more than that, by a salt of b; a unit has each a's set once."""
+    """Those of the pairs (a, b) that link: of each a's partners a prefix tree is made, and probed with a. Pairs are dealt
+    into units of about BLOCK by a and, for an a of more partners than that, by a hash of b; a unit has each a's set once."""
     many = max(1, pairs.count() // BLOCK)
-    salt = F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / BLOCK)).cast("int")
-    dealt = pairs.select(F.pmod(F.xxhash64("a", salt), F.lit(many)).alias("unit"), "a", "b")
+    # An a may have a large share of all pairs: the few such are salted, so that no task gets all of one.
+    heavy = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+    heavy = heavy.select("a", F.ceil(F.col("n") / BLOCK).alias("share"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(heavy.hint("merge"), ["a", "salt"], "left")
+    slot = F.pmod(F.xxhash64("b", F.lit("slot")), F.coalesce("share", F.lit(1)))
+    dealt = salted.select(F.pmod(F.xxhash64("a", slot), F.lit(many)).alias("unit"), "a", "b")
     rows = dealt.select("unit", "a", F.col("b").alias("class")).unionByName(dealt.select("unit", "a", F.col("a").alias("class")).distinct())
 
     def links(table: pa.Table) -> pa.Table:
@@ -380,9 +382,10 @@ def units(members: DataFrame, rule: Rule) -> DataFrame:
     salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     # A group or a component may hold a large share of all rows: they are salted, so that no task gets all of one.
     rows = members.withColumn("salt", F.pmod(F.xxhash64("class"), F.lit(SALTS)).cast("int")).withColumn("size_band", rule.size_band(F.col("size")))
-    rows = rows.join(open_.select("family", salt), ["family", "salt"])
+    # Hints: what is salted has many times the rows that its input shows, so it isn't to be broadcast.
+    rows = rows.join(open_.select("family", salt).hint("merge"), ["family", "salt"])
     count = rows.groupBy("family", "component").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("family", "component", salt, F.col("component").alias("own"))
-    rows = rows.join(count, ["family", "component", "salt"], "left").withColumn("own", F.coalesce("own", F.lit(0)))  # no class is 0
+    rows = rows.join(count.hint("merge"), ["family", "component", "salt"], "left").withColumn("own", F.coalesce("own", F.lit(0)))  # no class is 0
     rows = stored(rows, "join-dealt")
     kinds = rows.groupBy("family", "own", "size_band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("many"))
     left = kinds.select("family", *(F.col(c).alias(f"{c}_i") for c in ("own", "size_band", "many")), F.explode(F.array("size_band", F.col("size_band") + 1)).alias("size_band_j"))
@@ -392,7 +395,7 @@ def units(members: DataFrame, rule: Rule) -> DataFrame:
 
     def side(k: str, other: str) -> DataFrame:
         on = pairs.select(*(F.col(c) for c in pairs.columns)).withColumnsRenamed({f"own_{k}": "own", f"size_band_{k}": "size_band"})
-        dealt = rows.join(on, ["family", "own", "size_band", "salt"]).withColumn("block", F.pmod(F.xxhash64("class"), F.col(f"many_{k}")).cast("int"))
+        dealt = rows.join(on.hint("merge"), ["family", "own", "size_band", "salt"]).withColumn("block", F.pmod(F.xxhash64("class"), F.col(f"many_{k}")).cast("int"))
         # A kind of blocks that meets itself: block k is left of itself and of those after it, right of those before.
         from_, to = (F.when(F.col("same"), F.col("block")).otherwise(0), F.col("many_j")) if k == "i" else (F.lit(0), F.when(F.col("same"), F.col("block")).otherwise(F.col("many_i")))
         blocks = F.filter(F.sequence(F.lit(0), F.col(f"many_{other}")), lambda b: (b >= from_) & (b < to))
