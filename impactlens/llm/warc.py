@@ -67,10 +67,10 @@ def record(kind: str, rid: str, headers: list[tuple[str, str | None]], block: by
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def transaction(page_id: int | None, url: str, html: bytes, row: int, first: int | None) -> list[bytes]:
-    """A capture's records. first: the row whose response it revisits, if another one."""
+def transaction(page_id: int | None, url: str, html: bytes | None, sha1: bytes, size: int, row: int, first: int | None) -> list[bytes]:
+    """A capture's records. first: the row whose response it revisits, if another one; its html isn't needed then."""
     rid, uri = record_id("response", row), url.replace("\r", "%0D").replace("\n", "%0A")
-    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(html)}\r\n\r\n".encode()
+    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     about = b"" if page_id is None else f"page-id: {page_id}\r\n".encode()
     again = first is not None
     return [
@@ -78,24 +78,26 @@ def transaction(page_id: int | None, url: str, html: bytes, row: int, first: int
         record(
             "revisit" if again else "response", rid,
             [
-                ("WARC-Target-URI", uri), ("WARC-Payload-Digest", f"sha1:{base32(hashlib.sha1(html).digest())}"), ("WARC-Profile", PROFILE if again else None),
+                ("WARC-Target-URI", uri), ("WARC-Payload-Digest", f"sha1:{base32(sha1)}"), ("WARC-Profile", PROFILE if again else None),
                 ("WARC-Refers-To", record_id("response", first) if again else None), ("Content-Type", "application/http; msgtype=response"),
             ],
-            head if again else head + html,
+            head if html is None else head + html,
         ),
         record("metadata", record_id("metadata", row), [("WARC-Target-URI", uri), ("WARC-Concurrent-To", rid), ("Content-Type", "application/warc-fields")], about),
     ]
 
 
 def captures(pages: DataFrame, least: int = 0) -> DataFrame:
-    """page_id, url, html, row, and the row whose response a page revisits, if it does."""
+    """page_id, url, sha1, size, row, first (the row whose response a page revisits, if it does) and, if not, html."""
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), F.monotonically_increasing_id().alias("row"))
     rows = rows.withColumn("sha1", F.unhex(F.sha1(F.col("html").cast("binary"))))
     place = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")
     firsts = rows.where(F.octet_length("html") >= least).groupBy("sha1").agg(F.min(place).alias("first"))
     rows = rows.join(firsts, "sha1", "left")
-    return rows.select("page_id", "url", "html", "row", F.when(F.col("first.row") != F.col("row"), F.col("first.row")).alias("first"))
+    again = F.col("first.row") != F.col("row")
+    html = F.when(F.coalesce(~again, F.lit(True)), F.col("html").cast("binary"))
+    return rows.select("page_id", "url", html.alias("html"), "sha1", F.octet_length("html").alias("size"), "row", F.when(again, F.col("first.row")).alias("first"))
 
 
 def write(pages: DataFrame, folder: str, least: int = 0, file_bytes: int = FILE_BYTES) -> None:
@@ -104,9 +106,9 @@ def write(pages: DataFrame, folder: str, least: int = 0, file_bytes: int = FILE_
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            columns = (batch.column(k) for k in ("page_id", "url", "html", "row", "first"))
-            for page_id, url, html, row, first in zip(*columns, strict=True):
-                for data in map(member, transaction(page_id.as_py(), url.as_py(), html.as_py(), row.as_py(), first.as_py())):
+            columns = (batch.column(k) for k in ("page_id", "url", "html", "sha1", "size", "row", "first"))
+            for capture in zip(*columns, strict=True):
+                for data in map(member, transaction(*(x.as_py() for x in capture))):
                     held.append(data)
                     size += len(data)
                 if size >= file_bytes:
@@ -115,7 +117,7 @@ def write(pages: DataFrame, folder: str, least: int = 0, file_bytes: int = FILE_
         if held:
             yield pa.RecordBatch.from_pydict({"data": pa.array([b"".join(held)], pa.binary())})
 
-    found = captures(pages, least).withColumn("html", F.col("html").cast("binary")).mapInArrow(tidy(files), "data binary")
+    found = captures(pages, least).mapInArrow(tidy(files), "data binary")
     text = found.select(F.col("data").cast("string").alias("value"))
     text.write.option("encoding", "ISO-8859-1").option("lineSep", NOTHING.decode("latin-1")).option("maxRecordsPerFile", 1).text(folder)
 
