@@ -38,7 +38,7 @@ MAGIC, FILE_MAGIC = b"S8B1", b"S8F1"
 #: Fixed values of the format: ids a word and bits an id, by selector; selector 0 is the escape.
 SELECTORS = [(0, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 #: Text bytes that make a segment, and distinct pieces and stems that a worker remembers.
-SEGMENT_BYTES, REMEMBERED, REMEMBERED_STEMS = 1 << 20, 500_000, 100_000
+SEGMENT_BYTES, REMEMBERED, REMEMBERED_STEMS, FRESH = 1 << 20, 1_000_000, 250_000, 1 << 15
 #: ASCII punctuation that ends a piece and is a word of its own there; an apostrophe may begin a contraction.
 MARKS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
 #: The normaliser and the splitter that drop white space, and split letters, digits and other marks.
@@ -185,17 +185,23 @@ def letters_only(text: str) -> bool:
 
 
 class Ragged:
-    """Rows of ids, one after the other, that grow."""
+    """Rows of ids, one after the other; they grow in place, in arrays that double."""
 
     def __init__(self):
-        self.flat, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.many, self.flat, self.starts = 0, np.zeros(1 << 14, np.int32), np.zeros(1 << 12, np.int64)
 
     def __len__(self) -> int:
-        return len(self.starts) - 1
+        return self.many
 
     def add(self, flat: np.ndarray, counts: np.ndarray) -> None:
-        self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts, dtype=np.int64)])
+        at, n = int(self.starts[self.many]), self.many + len(counts)
+        if at + len(flat) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * (at + len(flat)))
+        if n + 1 > len(self.starts):
+            self.starts = np.resize(self.starts, 2 * (n + 1))
+        self.flat[at : at + len(flat)] = flat
+        self.starts[self.many + 1 : n + 1] = at + np.cumsum(counts, dtype=np.int64)
+        self.many = n
 
     def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         counts = self.starts[rows + 1] - self.starts[rows]
@@ -218,7 +224,30 @@ class Encoder:
         self.stems: dict[str, list[int]] = {}
 
     def forget(self) -> None:
-        self.known, self.row, self.pieces = np.zeros(0, U64), np.zeros(0, np.int64), Ragged()
+        # Hashes and rows, ascending; what is new stands apart until there is much of it.
+        self.known = self.fresh = np.zeros(0, U64)
+        self.row = self.fresh_row = np.zeros(0, np.int64)
+        self.pieces = Ragged()
+
+    def found(self, hashes: np.ndarray) -> np.ndarray:
+        """The row of each hash, -1 if it isn't known."""
+        out = np.full(len(hashes), -1)
+        for known, row in ((self.known, self.row), (self.fresh, self.fresh_row)):
+            if len(known):
+                place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                hit = known[place] == hashes
+                out[hit] = row[place[hit]]
+        return out
+
+    def remember(self, hashes: np.ndarray) -> None:
+        """Gives the next rows to hashes, which ascend."""
+        place = np.searchsorted(self.fresh, hashes)
+        self.fresh_row = np.insert(self.fresh_row, place, len(self.pieces) + np.arange(len(hashes)))
+        self.fresh = np.insert(self.fresh, place, hashes)
+        if len(self.fresh) > FRESH:
+            place = np.searchsorted(self.known, self.fresh)
+            self.known, self.row = np.insert(self.known, place, self.fresh), np.insert(self.row, place, self.fresh_row)
+            self.fresh, self.fresh_row = self.fresh[:0], self.fresh_row[:0]
 
     def stem(self, stem: str) -> list[int]:
         ids = self.stems.get(stem)
@@ -247,9 +276,7 @@ class Encoder:
             else:
                 flat += self.tokenizer.encode(text, add_special_tokens=False).ids
             ends.append(len(flat))
-        place = np.searchsorted(self.known, hashes)
-        self.known = np.insert(self.known, place, hashes)
-        self.row = np.insert(self.row, place, len(self.pieces) + np.arange(len(hashes)))
+        self.remember(hashes)
         self.pieces.add(np.array(flat, np.int32), np.diff(np.array([0, *ends])))
 
     def encode(self, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -260,18 +287,15 @@ class Encoder:
         data, offsets = utf8(column)
         starts, ends, first = word_bounds(data, offsets, NOT_BLANK)
         distinct, at, index = np.unique(word_hashes(data, starts, ends, lower=False), return_index=True, return_inverse=True)
-        if len(self.known) + len(distinct) > REMEMBERED:
+        if len(self.pieces) + len(distinct) > REMEMBERED:
             self.forget()
-        place = np.searchsorted(self.known, distinct)
-        new = np.ones(len(distinct), bool)
-        if len(self.known):
-            new = self.known[np.minimum(place, len(self.known) - 1)] != distinct
+        row = self.found(distinct)
+        new = row < 0
         if new.any():
             whole = data.tobytes()
-            spans = zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)
-            self.learn(distinct[new], [whole[a:b] for a, b in spans])
-            place = np.searchsorted(self.known, distinct)
-        ids, counts = self.pieces.take(self.row[place][index]) if len(distinct) else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+            row[new] = len(self.pieces) + np.arange(int(new.sum()))
+            self.learn(distinct[new], [whole[a:b] for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)])
+        ids, counts = self.pieces.take(row[index]) if len(distinct) else (np.zeros(0, np.int32), np.zeros(0, np.int64))
         bounds = np.concatenate([[0], np.cumsum(counts)])[first]
         return np.insert(ids, bounds[1:], end), np.diff(bounds) + 1
 
