@@ -278,7 +278,7 @@ def _(t):
     return t.raw("part").select(F.col("p_partkey").alias("k"), classify.access_type(pick("p_partkey", "InsertRow", "modify", "RemoveAll", "FindBy", "Save", "AddAndGet")).alias("access"))
 
 
-@query("b27_levels", "SELECT * FROM (VALUES ('Fast', 0.7, 30, 50), ('Medium', 0.85, 300, 200), ('High', 0.95, 900, 1000), ('Full', 0.99, 3600, NULL)) v(level, confidence, seconds, most)")
+@query("b27_levels", "SELECT * FROM (VALUES ('Fast', 0.7::DOUBLE, 30, 50), ('Medium', 0.85, 300, 200), ('High', 0.95, 900, 1000), ('Full', 0.99, 3600, NULL)) v(level, confidence, seconds, most)")
 def _(t):
     return scoring.levels(t.spark).select("level", "confidence", "seconds", "most")
 
