@@ -509,6 +509,45 @@ def test_language_model_beats_the_counts(docs):
     assert sum(r["score"] for r in found) > sum(r["base_score"] for r in found)
 
 
+def test_weight_rows_follow_the_vocabulary_without_limit():
+    assert lm.rows_for(0) == lm.rows_for(1000) == lm.ROWS
+    for distinct in (1 << k for k in range(20, 41)):
+        assert lm.rows_for(distinct) == max(lm.ROWS, distinct // 512)
+
+
+def test_tasks_send_no_more_than_half_the_token_numbers():
+    assert lm.tasks_for(8, 6, 1 << 30, 1 << 21) == 12 and lm.tasks_for(240, 6, 1 << 35, 1 << 24) == 60
+    assert lm.tasks_for(240, 6, 1 << 30, 1 << 27) == 4 and lm.tasks_for(8, 6, 0, 1 << 21) == 1
+
+
+def test_many_weight_rows_are_learned_whole(spark):
+    """65,536 rows a softmax, in pieces, from two tasks a round: the mean by tokens of what plain loops learn."""
+    rng, many = np.random.default_rng(8), 1 << 16
+    rows = [(i, False, " ".join(f"w{k}" for k in rng.integers(0, 9000, 400))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, held boolean, text string").repartition(6, "doc_id")
+    parts = lm.stored(lm.chunks(docs), "lm-test")
+    classes = lm.units(lm.stored(lm.counted(parts, 2), "lm-test"))
+    limit = 2 * 2 * lm.Weights(many).flat().nbytes  # as if there were so many bytes: two tasks
+    found = lm.trained(parts, classes, limit, many)
+    assert found.many == many
+    flat = lm.Weights(many).flat()
+    for r in range(lm.ROUNDS):
+        total, seen_by_all = np.zeros(len(flat)), 0
+        for part in parts.where(parts["round"] == r).coalesce(2).rdd.glom().collect():
+            w, seen = lm.Weights.of(flat.copy()), 0
+            squares = np.ones((2 * many + 17, 16), np.float32)
+            for row in part:
+                words, index = np.frombuffer(row["vocabulary"], np.uint64), np.frombuffer(row["tokens"], "<u4")
+                lm.learn(w, squares, words[index], np.frombuffer(row["first"], "<i8"), classes.of(words)[index])
+                seen += len(index)
+            total += (w.flat() - flat).astype(np.float64) * seen
+            seen_by_all += seen
+        if seen_by_all:
+            flat = (flat + total / seen_by_all).astype(np.float32)
+    assert (found.rows[:many] != 0).any(1).sum() > 15_000 and (found.rows[many:] != 0).any(1).sum() > 15_000
+    assert np.abs(found.flat() - flat).max() < 1e-5
+
+
 def test_a_very_long_text_is_scored(spark):
     rows = [(i, "a b c d " * (200_000 if i == 3 else 5)) for i in range(12)]
     found = {r["doc_id"]: r for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
