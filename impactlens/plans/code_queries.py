@@ -11,6 +11,7 @@ from impactlens.operators import code, conflict, databases, graph, symbols
 from impactlens.plans.registry import query
 from impactlens.sources import projects
 from impactlens.sources.adapter import Tables
+from impactlens.sources.cut import dealt
 
 #: # is the part's key, @ its type.
 TEMPLATE = """using System;
@@ -74,8 +75,9 @@ namespace Shop.@
 
 
 def files(t: Tables) -> DataFrame:
+    """The keys are dealt out before the text is made of them: a few MB of parts become GB of text."""
     made = F.replace(F.replace(F.lit(TEMPLATE), F.lit("#"), F.col("p_partkey").cast("string")), F.lit("@"), F.initcap("p_type"))
-    return t.raw("part").select(F.concat(F.lit("/w/f"), F.col("p_partkey").cast("string"), F.lit(".cs")).alias("path"), made.alias("content"), "p_partkey")
+    return dealt(t.raw("part").select("p_partkey", "p_type")).select(F.concat(F.lit("/w/f"), F.col("p_partkey").cast("string"), F.lit(".cs")).alias("path"), made.alias("content"), "p_partkey")
 
 
 NS = "'Shop.' || upper(p_type[1]) || lower(p_type[2:]) || '.'"
