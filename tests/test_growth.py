@@ -1,5 +1,9 @@
 """Plans whose cost must follow the input: what is shuffled, broadcast or left to one task."""
 
+from pyspark.sql import functions as F
+
+from impactlens import api
+from impactlens.commands import Workspace
 from impactlens.operators import code
 from impactlens.plans import code_queries
 from impactlens.sources.adapter import Tables
@@ -29,3 +33,14 @@ def test_code_is_not_broadcast(spark):
 
 def test_keys_of_files_are_dealt_out(spark, sf_dir):
     assert code_queries.files(Tables(spark, sf_dir)).rdd.getNumPartitions() >= 4
+
+
+def test_statistics_count_every_callee(spark):
+    n = 60
+    edges = spark.range(n).select(F.lit("T").alias("caller"), F.concat(F.lit("M"), "id").alias("callee"))
+    ids = edges.select(F.col("callee").alias("method_id")).unionByName(spark.createDataFrame([("T",)], "method_id string"))
+    methods = ids.select("method_id", F.col("method_id").alias("name"), F.lit("K").alias("containing_type"), F.lit("/src/k.cs").alias("file_path"), (F.col("method_id") == "T").alias("is_test"))
+    tests = spark.createDataFrame([("T", "T")], "test_id string, name string")
+    found = api.answer(Workspace(methods, edges, tests), "POST", "/api/testcoverage/statistics").first()
+    assert (found.methods, found.covered, found.relationships, found.percentage) == (n, n, n, 100.0)
+    assert Workspace(methods, edges, tests).trace_execution().count() == 50
